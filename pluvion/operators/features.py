@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import e
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .series import excess_ramp, trailing_sums
@@ -126,11 +126,10 @@ def cell_intensity(nodes: DataFrame, hours: DataFrame, cells: DataFrame) -> Data
 def mean_preserving_clip(df: DataFrame, key: str, value: str, lo: float, hi: float, rounds: int = 12) -> DataFrame:
     """Multipliers of mean 1 per key, cut to [lo, hi] and scaled back to mean 1, `rounds` times at most.
 
-    Each round joins the key's mean (summed map-side) back; the plan is a fixed number of rounds without a loop's actions.
+    All rounds share the partitioning by key, so they cost one shuffle.
     """
-    out = df
+    out, per = df, Window.partitionBy(key)
     for _ in range(rounds):
-        means = out.groupBy(key).agg(F.avg(value).alias("_m"))
-        scaled = F.when(F.col("_m") > 0, F.col(value) / F.col("_m")).otherwise(1.0)
-        out = out.join(means, key).withColumn(value, F.least(F.greatest(scaled, F.lit(lo)), F.lit(hi))).drop("_m")
+        mean = F.avg(value).over(per)
+        out = out.withColumn(value, F.least(F.greatest(F.when(mean > 0, F.col(value) / mean).otherwise(1.0), F.lit(lo)), F.lit(hi)))
     return out

@@ -44,7 +44,8 @@ def rain_sessions(stream: DataFrame, wet: float, max_dry_hours: int) -> DataFram
 def leaky_store(stream: DataFrame, capacity: float, cap: float) -> DataFrame:
     """(station, ts, store, spill): a store per station that takes mm, leaks up to capacity and spills above cap.
 
-    Rows of a trigger are taken in order of ts; state is one number a station and leaves after a day of silence.
+    Rows of a trigger are taken in order of ts; state is one number a station and leaves a day of event time after
+    its last reading.
     """
 
     def step(key, frames, state: GroupState):
@@ -60,12 +61,13 @@ def leaky_store(stream: DataFrame, capacity: float, cap: float) -> DataFrame:
             store = min(left, cap)
             stores.append(store), spills.append(left - store)
         state.update((store,))
-        state.setTimeoutDuration(86_400_000)
+        last = int(pd.Timestamp(rows["ts"].iloc[-1]).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 86_400_000)
         yield pd.DataFrame({"station": [key[0]] * len(rows), "ts": rows["ts"].values, "store": stores, "spill": spills})
 
     kind = stream.schema["station"].dataType.simpleString()
     return stream.select("station", "ts", "mm").groupBy("station").applyInPandasWithState(
-        step, f"station {kind}, ts timestamp, store double, spill double", "store double", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, f"station {kind}, ts timestamp, store double, spill double", "store double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
