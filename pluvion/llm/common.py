@@ -6,12 +6,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_fields(df: DataFrame, more: str) -> StructType:
+    """df's schema with further fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty."""
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import stored
-from .common import table
+from .common import table, with_fields
 
 #: Paths with this share of a host's votes win (so at most 1 / SHARE of them).
 SHARE = 0.1
@@ -243,8 +243,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     winners = stored(winning_paths(pages))
     joined = pages.withColumn("_host", host_of(F.col("url"))).join(winners.withColumnRenamed("host", "_host"), "_host", "left")
     rest = joined.select(F.col("html").alias("_html"), F.col("paths").alias("_paths"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields[2:])
-    return rest.mapInArrow(_texts, schema + ", _text string").withColumnRenamed("_text", "text")
+    return rest.mapInArrow(_texts, with_fields(rest.select(*rest.columns[2:]), "_text string")).withColumnRenamed("_text", "text")
 
 
 def op6_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import table, utf8, with_fields
 
 ORDER = 4
 #: Training documents a language, about (a hashed share of its labelled rows), and the largest text used, in bytes.
@@ -203,9 +203,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    first = ["text", *[c for c in docs.columns if c != "text"]]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*first).schema)
-    scored = docs.select(*first).mapInArrow(_score(shared), schema + ", _lang string, _score double, _bits double")
+    first = docs.select("text", *[c for c in docs.columns if c != "text"])
+    scored = first.mapInArrow(_score(shared), with_fields(first, "_lang string, _score double, _bits double"))
     return scored.select(
         *docs.columns,
         F.when(letters, F.col("_lang")).otherwise("und").alias("lang_pred"),

@@ -262,10 +262,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component; of repeats of that doc_id, one stays."""
-    out = simhash_components(docs, words, distance).select("doc_id", "component_id")
-    keep = out.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The row of docs with the smallest doc_id of each component; of repeats of that doc_id, one stays.
+
+    A null doc_id stands for itself: a hash of its text takes the id's place.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), F.col("text")))
+    keyed = docs.withColumn("_key", key)
+    out = simhash_components(keyed.select(F.col("_key").alias("doc_id"), "text"), words, distance)
+    keep = out.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 QUERIES = {"op7_simhash": op7_simhash}

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, with_fields
 
 #: Labelled documents that the model is fitted on at most, about (a hashed share); texts above TRAIN_BYTES aren't used.
 TRAIN_DOCS, TRAIN_BYTES = 12_000, 65_536
@@ -160,8 +160,7 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
         return docs.select("*", F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(0.0).alias("p_toxic"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     first = docs.select("text", *[c for c in docs.columns if c != "text"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema)
-    scored = first.mapInArrow(_score(shared), schema + ", _severity double, _grade int, _toxic double")
+    scored = first.mapInArrow(_score(shared), with_fields(first, "_severity double, _grade int, _toxic double"))
     some = F.coalesce(F.col("text") != "", F.lit(False))
     return scored.select(
         *docs.columns,
@@ -199,10 +198,12 @@ def severity_grades(got: pa.Table) -> np.ndarray:
 
 def fit_from_labels(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> OrdinalModel | None:
     """A model of severity from labels(doc_id, toxic) of docs(doc_id, text); see severity_grades."""
-    marked = docs.select("doc_id", "text").join(labels.where("toxic is not null").select("doc_id", "toxic").dropDuplicates(["doc_id"]), "doc_id")
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1 << 30))
     rate = min(1.0, limit / max(labels.count(), 1))
-    usable = marked.where(share < int(rate * (1 << 30))).where(f"text is not null and octet_length(text) between 1 and {TRAIN_BYTES}")
+    drawn = labels.where("toxic is not null").where(share < int(rate * (1 << 30))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # about `limit` rows, whatever the table's size
+    marked = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    usable = marked.where(f"text is not null and octet_length(text) between 1 and {TRAIN_BYTES}")
     got = usable.select(F.col("toxic").cast("int").alias("grade"), "text").mapInArrow(
         _document_features, "grade int, names array<string>, counts array<int>"
     ).toArrow()
