@@ -187,25 +187,36 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     return folded.select("word", "carried", ids.alias("ids"))
 
 
-def _packed(schema_names: list[str]):
-    """All rows of a partition as one Arrow stream in one row."""
-
-    def run(batches):
-        sink, writer = io.BytesIO(), None
-        for batch in batches:
-            if writer is None:
-                writer = pa.ipc.new_stream(sink, batch.schema)
-            writer.write_batch(batch)
-        if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue()], pa.binary())], ["data"])
-
-    return run
-
-
-def _only(rows):
-    got = [bytes(r[0]) for r in rows]
-    return [got[0] if got else b""]
+def _stream(t: pa.Table) -> bytes:
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(t, max_chunksize=4096)
+    return sink.getvalue()
+
+
+def _packed_texts(batches):
+    """All rows of a partition as one compressed Arrow stream."""
+    got = list(batches)
+    if got and (t := pa.Table.from_batches(got)).num_rows:
+        split = t.column(0)[0].as_py()
+        yield pa.RecordBatch.from_arrays([pa.array([split], pa.int32()), pa.array([_stream(t.select([1, 2]))], pa.binary())], ["split", "docs"])
+
+
+def _packed_words(batches):
+    """The words of each split, as one compressed Arrow stream a split."""
+    got = list(batches)
+    if not got:
+        return
+    t = pa.Table.from_batches(got)
+    t = t.take(pa.array(np.argsort(t.column(0).to_numpy(), kind="stable")))
+    splits = t.column(0).to_numpy()
+    at = np.concatenate([[0], np.flatnonzero(splits[1:] != splits[:-1]) + 1, [len(splits)]])
+    for lo, hi in zip(at, at[1:]):
+        if hi > lo:
+            part = t.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(splits[lo])], pa.int32()), pa.array([_stream(part.select([1, 2]))], pa.binary())], ["split", "words"]
+            )
 
 
 def _encode(shared):
@@ -214,12 +225,11 @@ def _encode(shared):
         for batch in batches:
             for k in range(batch.num_rows):
                 docs, words = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                if not docs:
-                    continue
                 known: dict[str, list[int]] = {}
-                if words:
-                    for part in pa.ipc.open_stream(words):
+                for stream in words or []:
+                    for part in pa.ipc.open_stream(stream):
                         known.update(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+                del words
                 whole = {}
                 for part in pa.ipc.open_stream(docs):
                     for s in range(0, part.num_rows, 256):
@@ -254,24 +264,18 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     tells whether decoding gives the text back (null for a null text; false where it holds the space mark itself).
     Repeated rows stay.
 
-    Each partition's distinct words are grouped by word over all partitions, encoded once, and sent back to the
-    partitions that hold them; texts are read twice and never shuffled. docs should be a scan of files, whose partitions
-    are the same each time; a word that a partition isn't sent is folded there.
+    Each partition's distinct words are grouped by word over all partitions, encoded once, and sent back to where the
+    partition's texts go, packed on both sides; so a text is shuffled once, compressed, whatever its words. docs should
+    be a scan of files, whose partitions are the same each time; a word that is missing all the same is fused on the spot.
     """
-    spark = docs.sparkSession
     pieces = Pieces(path)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.select(F.spark_partition_id().alias("split"), "text").mapInArrow(_distinct_words, "split int, word string")
+    rows = docs.select(F.spark_partition_id().alias("split"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = rows.select("split", "text").mapInArrow(_distinct_words, "split int, word string")
     words = found.groupBy("word").agg(F.collect_list("split").alias("carried"))
     known = encode_words(words, pieces).select(F.explode("carried").alias("split"), "word", "ids")
-    texts = rows.mapInArrow(_packed(["doc_id", "text"]), "data binary").rdd.mapPartitions(_only)
-    parts = texts.getNumPartitions()
-    if not parts:
-        return spark.createDataFrame([], "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
-    sent = known.repartitionById(parts, F.col("split")).select("word", "ids")
-    dictionaries = sent.mapInArrow(_packed(["word", "ids"]), "data binary").rdd.mapPartitions(_only)
-    paired = spark.createDataFrame(texts.zip(dictionaries), "docs binary, words binary")
-    shared = spark.sparkContext.broadcast(pieces)
+    sent = known.mapInArrow(_packed_words, "split int, words binary").groupBy("split").agg(F.collect_list("words").alias("words"))
+    paired = rows.mapInArrow(_packed_texts, "split int, docs binary").join(sent, "split", "left").select("docs", "words")
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
     return paired.mapInArrow(_encode(shared), "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
 
 
