@@ -117,38 +117,66 @@ def _distinct_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array([split] * len(part), pa.int32()), pa.array(part, pa.string())], ["split", "word"])
 
 
-def fold_edges(edges: Column, word: Column) -> Column:
-    """The symbol bounds of a word, as bits, after one pass over its edges(rank, s, e, ends, inner, id) by priority."""
-    every = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(63) - F.char_length(word))
-    bounds = F.aggregate(
-        F.array_sort(edges),
+#: An edge is one long: order of priority, start, end and id of its piece; so edges sort as they are taken.
+ORDER_AT, START_AT, END_AT, PLACE, ID = 36, 30, 24, 63, (1 << 24) - 1
+#: Single characters below this code point need no edge: a literal array has their ids.
+PLAIN = 1024
+
+
+def _shift(name: str, value: Column, by: Column | int) -> Column:
+    return F.call_function(name, value, by if isinstance(by, Column) else F.lit(by))
+
+
+def _bit(place: Column) -> Column:
+    return _shift("shiftleft", F.lit(1).cast("long"), place)
+
+
+def _start(x: Column) -> Column:
+    return _shift("shiftright", x, START_AT).bitwiseAND(F.lit(PLACE)).cast("int")
+
+
+def _end(x: Column) -> Column:
+    return _shift("shiftright", x, END_AT).bitwiseAND(F.lit(PLACE)).cast("int")
+
+
+def fold_edges(masks: Column, word: Column) -> Column:
+    """The symbol bounds of a word, as bits, after one pass over the masks(ends, inner) of its edges by priority."""
+    every = _shift("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(63) - F.char_length(word))
+    return F.aggregate(
+        masks,
         every,
         lambda b, x: F.when(
             (b.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(b.bitwiseAND(x["inner"])) == 1),
             b.bitwiseAND(F.bitwise_not(x["inner"])),
         ).otherwise(b),
     )
-    return bounds
 
 
-def chosen_ids(edges: Column, bounds: Column, word: Column, first_byte: int | None, unknown: int) -> Column:
-    """The ids of the edges between neighbouring bounds; a character that is no piece gives its bytes."""
-    kept = F.filter(
-        edges, lambda x: (bounds.bitwiseAND(x["ends"]) == x["ends"]) & (bounds.bitwiseAND(x["inner"]) == 0)
+def chosen_ids(masks: Column, bounds: Column, word: Column, pieces: Pieces) -> Column:
+    """The ids of the symbols between neighbouring bounds; a character that is no piece gives its bytes."""
+    kept = F.filter(masks, lambda x: (bounds.bitwiseAND(x["ends"]) == x["ends"]) & (bounds.bitwiseAND(x["inner"]) == 0))
+    whole = F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.array(x["id"]).alias("ids")))
+    plain = F.array(*[F.lit(pieces.rank[chr(c)][1] if chr(c) in pieces.rank else -1) for c in range(PLAIN)])
+    alone = F.filter(
+        F.sequence(F.lit(0), F.char_length(word) - 1),
+        lambda i: (F.bit_count(bounds.bitwiseAND(_bit(i).bitwiseOR(_bit(i + 1)))) == 2) & ~F.exists(kept, lambda x: x["s"] == i),
     )
-    ordered = F.array_sort(F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))
 
-    def ids(x: Column) -> Column:
-        if first_byte is None:
-            return F.array(F.coalesce(x["id"], F.lit(unknown)))
-        hexed = F.hex(F.encode(F.substring(word, x["s"] + 1, F.lit(1)), "utf-8"))
-        each = F.transform(
-            F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")),
-            lambda k: F.conv(F.substring(hexed, k * 2 - 1, F.lit(2)), 16, 10).cast("int") + first_byte,
-        )
-        return F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(each)
+    def single(i: Column) -> Column:
+        ch = F.substring(word, i + 1, F.lit(1))
+        code = F.ascii(ch)
+        known = F.when(code < PLAIN, F.element_at(plain, F.least(code, F.lit(PLAIN - 1)) + 1)).otherwise(-1)
+        if pieces.byte_id:
+            hexed = F.hex(F.encode(ch, "utf-8"))
+            other = F.transform(
+                F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")),
+                lambda k: F.conv(F.substring(hexed, k * 2 - 1, F.lit(2)), 16, 10).cast("int") + pieces.byte_id[0],
+            )
+        else:
+            other = F.array(F.lit(pieces.unknown))
+        return F.struct(i.alias("s"), F.when(known >= 0, F.array(known)).otherwise(other).alias("ids"))
 
-    return F.flatten(F.transform(ordered, ids))
+    return F.flatten(F.transform(F.array_sort(F.concat(whole, F.transform(alone, single))), lambda x: x["ids"]))
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -157,39 +185,45 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     The chain keeps the rows of a word where the grouping of `words` by word has put them, so it shuffles nothing: the
     piece table is broadcast, its size is the vocabulary's.
     """
-    spark = words.sparkSession
-    rows = [(name, float(rank), i) for name, (rank, i) in pieces.rank.items()]
-    lookup = spark.createDataFrame(rows, "sub string, rank double, id int")
+    if pieces.byte_id and any(pieces.byte_id[b] != pieces.byte_id[0] + b for b in range(256)):
+        raise ValueError("byte pieces are not in order")
+    place = {rank: k for k, rank in enumerate(sorted({rank for rank, _ in pieces.rank.values()}))}
+    rows = [
+        (name, (place[rank] << ORDER_AT) | i) for name, (rank, i) in pieces.rank.items() if len(name) > 1 or ord(name) >= PLAIN
+    ]
+    lookup = words.sparkSession.createDataFrame(rows, "sub string, code long")
     n = F.char_length("word")
     starts = words.select("word", "carried", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select(
         "word", "carried", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + pieces.longest))).alias("e")
     )
-    head = (F.col("s") == 0) & (F.col("e") == 1)
+    s, e = F.col("s").cast("long"), F.col("e").cast("long")
+    head = (F.col("s") == 0) & (F.col("e") == 1)  # one row a word stays whatever matches
     subs = spans.select(
-        "word", F.when(head, F.col("carried")).alias("carried"), "s", "e",
-        F.expr("substring(word, s + 1, e - s)").alias("sub"),
+        "word", F.when(head, F.col("carried")).alias("carried"), F.expr("substring(word, s + 1, e - s)").alias("sub"),
+        (_shift("shiftleft", s, START_AT) + _shift("shiftleft", e, END_AT)).alias("span"),
     )
-    edges = subs.join(F.broadcast(lookup), "sub", "left").where("id is not null or e = s + 1")
-    one = F.lit(1).cast("long")
-    s, e = F.col("s"), F.col("e")
-    ends = F.call_function("shiftleft", one, s).bitwiseOR(F.call_function("shiftleft", one, e))
-    inner = F.call_function("shiftleft", one, e) - F.call_function("shiftleft", one, s + 1)
-    edge = F.struct("rank", "s", "e", ends.alias("ends"), inner.alias("inner"), "id")
+    edges = subs.join(F.broadcast(lookup), "sub", "left").where("code is not null or carried is not null")
     grouped = edges.groupBy("word").agg(
-        F.collect_list(edge).alias("edges"), F.first("carried", ignorenulls=True).alias("carried")
+        F.collect_list(F.col("code") + F.col("span")).alias("edges"), F.first("carried", ignorenulls=True).alias("carried")
     )
-    first_byte = pieces.byte_id.get(0) if pieces.byte_id else None
-    if pieces.byte_id and any(pieces.byte_id[b] != first_byte + b for b in range(256)):
-        raise ValueError("byte pieces are not in order")
-    folded = grouped.select("word", "carried", "edges", fold_edges(F.col("edges"), F.col("word")).alias("bounds"))
-    ids = chosen_ids(F.col("edges"), F.col("bounds"), F.col("word"), first_byte, pieces.unknown)
+
+    def mask(x: Column) -> Column:
+        a, b = _bit(_start(x)), _bit(_end(x))
+        return F.struct(
+            a.bitwiseOR(b).alias("ends"), (b - _shift("shiftleft", a, 1)).alias("inner"), _start(x).alias("s"),
+            x.bitwiseAND(F.lit(ID)).cast("int").alias("id"),
+        )
+
+    masked = grouped.select("word", "carried", F.transform(F.sort_array("edges"), mask).alias("masks"))
+    folded = masked.select("word", "carried", "masks", fold_edges(F.col("masks"), F.col("word")).alias("bounds"))
+    ids = chosen_ids(F.col("masks"), F.col("bounds"), F.col("word"), pieces)
     return folded.select("word", "carried", ids.alias("ids"))
 
 
 def _stream(t: pa.Table) -> bytes:
     sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
         writer.write_table(t, max_chunksize=4096)
     return sink.getvalue()
 
