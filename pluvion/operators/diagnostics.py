@@ -97,7 +97,7 @@ def separable_score(labels: DataFrame, rain5: DataFrame, width: float, year: Col
     fit = marked.where("not _test")
     bins = fit.groupBy("_bin").agg(F.avg("y").alias("_pb"))
     nodes = fit.groupBy("node_id").agg(F.avg("y").alias("_pn"))
-    scored = marked.where("_test").join(F.broadcast(bins), "_bin", "left").join(nodes, "node_id", "left")
+    scored = marked.where("_test").join(bins, "_bin", "left").join(nodes, "node_id", "left")
     return scored.select("t", "node_id", "y", (F.coalesce("_pb", F.lit(0.0)) * F.coalesce("_pn", F.lit(0.0))).alias("p"))
 
 
