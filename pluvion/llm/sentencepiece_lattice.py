@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import io
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ class Pieces:
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.rank = {self.names[i]: (-sp.get_score(i), i) for i in plain}
         self.byte_id = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
+        self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.unknown = sp.unk_id()
         self.longest = max(map(len, self.rank))
         self._check()
@@ -253,36 +255,63 @@ def _packed_words(batches):
             )
 
 
+class Known:
+    """Words with their ids: one flat array, so that a word costs little more than its text."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.at = pieces, {}
+        self.flat, self.ends = array("i"), array("q", [0])
+        self.good = bytearray()
+
+    def load(self, part: pa.RecordBatch) -> None:
+        ids = part.column(1)
+        base = len(self.ends) - 1
+        self.at.update(zip(part.column(0).to_pylist(), range(base, base + part.num_rows)))
+        offsets = ids.offsets.to_numpy()
+        self.flat.frombytes(ids.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.intc).tobytes())
+        self.ends.frombytes((offsets[1:] - offsets[0] + self.ends[-1]).astype(np.int64).tobytes())
+        self.good.extend(bytes(part.num_rows))
+
+    def add(self, word: str) -> int:
+        self.flat.extend(self.pieces.encode_word(word))
+        self.ends.append(len(self.flat))
+        self.good.append(0)
+        k = self.at[word] = len(self.ends) - 2
+        return k
+
+    def encode(self, text: str | None, out: array) -> bool:
+        """Appends the text's ids; tells whether decoding its words gives them back."""
+        same = True
+        for w in words_of(text):
+            k = self.at.get(w)
+            if k is None:  # too long, or behind a run of spaces
+                k = self.add(w)
+            ids = self.flat[self.ends[k] : self.ends[k + 1]]
+            out.extend(ids)
+            if not self.good[k]:
+                self.good[k] = 1 if decode_ids(ids, self.pieces.names, self.pieces.byte_of) == w else 2
+            same &= self.good[k] == 1
+        return same
+
+
 def _encode(shared):
     def run(batches):
         pieces: Pieces = shared.value
         for batch in batches:
             for k in range(batch.num_rows):
-                docs, words = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                known: dict[str, list[int]] = {}
-                for stream in words or []:
-                    for part in pa.ipc.open_stream(stream):
-                        known.update(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
-                del words
-                whole = {}
-                for part in pa.ipc.open_stream(docs):
+                known = Known(pieces)
+                for stream in batch.column(1)[k].values or []:
+                    for part in pa.ipc.open_stream(stream.as_buffer()):
+                        known.load(part)
+                for part in pa.ipc.open_stream(batch.column(0)[k].as_buffer()):
                     for s in range(0, part.num_rows, 256):
                         some = part.slice(s, 256)
-                        flat, offsets, same = [], [0], []
+                        flat, offsets, same = array("i"), [0], []
                         for text in some.column(1).to_pylist():
-                            ok = True
-                            for w in words_of(text):
-                                ids = known.get(w)
-                                if ids is None:  # too long, or behind a run of spaces
-                                    ids = known[w] = pieces.encode_word(w)
-                                flat.extend(ids)
-                                good = whole.get(w)
-                                if good is None:
-                                    good = whole[w] = decode_ids(ids, pieces.names, pieces.byte_id) == w
-                                ok &= good
+                            ok = known.encode(text, flat)
                             offsets.append(len(flat))
                             same.append(None if text is None else ok and "▁" not in text)
-                        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+                        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.intc)) if flat else pa.array([], pa.int32()))
                         yield pa.RecordBatch.from_arrays(
                             [some.column(0), ids, pa.array(np.diff(offsets).astype(np.int64)), pa.array(same, pa.bool_())],
                             ["doc_id", "ids", "n_pieces", "round_trip"],
@@ -313,10 +342,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return paired.mapInArrow(_encode(shared), "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
 
 
-def decode_ids(ids: list[int], names: list[str], byte_id: dict[int, int]) -> str:
+def decode_ids(ids, names: list[str], byte_of: dict[int, int]) -> str:
     """The text of ids with its leading space; runs of byte pieces are UTF-8, ill-formed bytes U+FFFD."""
-    byte_of = {i: b for b, i in byte_id.items()} if any(i in byte_id.values() for i in ids) else {}
-    if not byte_of:
+    if byte_of.keys().isdisjoint(ids):
         return "".join([names[i] for i in ids])
     out, run = [], bytearray()
     for i in ids:
@@ -337,7 +365,7 @@ def _decode(shared):
         for batch in batches:
             texts = []
             for ids in batch.column(1).to_pylist():
-                text = None if ids is None else decode_ids(ids, pieces.names, pieces.byte_id)
+                text = None if ids is None else decode_ids(ids, pieces.names, pieces.byte_of)
                 texts.append(text[1:] if text and text[0] == " " else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
