@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import io
 from array import array
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from .common import table
 #: Words of more characters than bits of the fold's state, and those behind a run of spaces, whose pieces are of equal
 #: priority, are fused by the same rule with an agenda where their text is read.
 LONGEST, RUN = 62, "    "
+#: Text of a unit, in bytes: what a task holds at once, with its words.
+UNIT_BYTES = 9 << 20
 WORD = regex.compile(r" *\p{L}+| *[^\p{L} ]+| +")
 
 
@@ -106,17 +109,44 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(" " + text.replace("▁", " ")) if text else []
 
 
-def _distinct_words(batches):
-    words: set[str] = set()
-    split = None
+def _units(batches):
+    """(unit, batch) of a partition's rows (split, doc_id, text): a unit ends once it holds UNIT_BYTES of text.
+
+    Rows come in the order of the files, so a partition has the same units each time.
+    """
+    have, k = 0, 0
     for batch in batches:
-        for text in batch.column(1).to_pylist():
-            words.update(words_of(text))
-        split = batch.column(0)[0].as_py() if batch.num_rows else split
-    short = [w for w in words if len(w) <= LONGEST and not w.startswith(RUN)]
-    for s in range(0, len(short), 50_000):
-        part = short[s : s + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([split] * len(part), pa.int32()), pa.array(part, pa.string())], ["split", "word"])
+        if not batch.num_rows:
+            continue
+        split = batch.column(0)[0].as_py()
+        sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(2)])
+        start = 0
+        for i, size in enumerate(sizes.tolist()):
+            have += size
+            if have >= UNIT_BYTES:
+                yield split << 24 | k, batch.slice(start, i + 1 - start)
+                start, have, k = i + 1, 0, k + 1
+        if start < batch.num_rows:
+            yield split << 24 | k, batch.slice(start)
+
+
+def _by_unit(batches):
+    """(unit, its batches)."""
+    for unit, group in groupby(_units(batches), key=lambda x: x[0]):
+        yield unit, (batch for _, batch in group)
+
+
+def _distinct_words(batches):
+    for unit, parts in _by_unit(batches):
+        words: set[str] = set()
+        for batch in parts:
+            for text in batch.column(2).to_pylist():
+                words.update(words_of(text))
+        short = [w for w in words if len(w) <= LONGEST and not w.startswith(RUN)]
+        del words
+        for s in range(0, len(short), 20_000):
+            part = short[s : s + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([unit] * len(part), pa.int64()), pa.array(part, pa.string())], ["unit", "word"])
 
 
 #: An edge is one long: order of priority, start, end and id of its piece; so edges sort as they are taken.
@@ -231,28 +261,34 @@ def _stream(t: pa.Table) -> bytes:
 
 
 def _packed_texts(batches):
-    """All rows of a partition as one compressed Arrow stream."""
-    got = list(batches)
-    if got and (t := pa.Table.from_batches(got)).num_rows:
-        split = t.column(0)[0].as_py()
-        yield pa.RecordBatch.from_arrays([pa.array([split], pa.int32()), pa.array([_stream(t.select([1, 2]))], pa.binary())], ["split", "docs"])
+    """The rows of each unit as one compressed Arrow stream."""
+    for unit, parts in _by_unit(batches):
+        t = pa.Table.from_batches(list(parts)).select([1, 2])
+        yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([_stream(t)], pa.binary())], ["unit", "docs"])
 
 
 def _packed_words(batches):
-    """The words of each split, as one compressed Arrow stream a split."""
-    got = list(batches)
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    t = t.take(pa.array(np.argsort(t.column(0).to_numpy(), kind="stable")))
-    splits = t.column(0).to_numpy()
-    at = np.concatenate([[0], np.flatnonzero(splits[1:] != splits[:-1]) + 1, [len(splits)]])
-    for lo, hi in zip(at, at[1:]):
-        if hi > lo:
-            part = t.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(splits[lo])], pa.int32()), pa.array([_stream(part.select([1, 2]))], pa.binary())], ["split", "words"]
-            )
+    """The words of each unit, as compressed Arrow streams of what a task has of them."""
+    got, rows = [], 0
+
+    def flush():
+        t = pa.Table.from_batches(got)
+        t = t.take(pa.array(np.argsort(t.column(0).to_numpy(), kind="stable")))
+        units = t.column(0).to_numpy()
+        at = np.concatenate([[0], np.flatnonzero(units[1:] != units[:-1]) + 1, [len(units)]])
+        for lo, hi in zip(at, at[1:]):
+            packed = _stream(t.slice(lo, hi - lo).select([1, 2]))
+            yield pa.RecordBatch.from_arrays([pa.array([int(units[lo])], pa.int64()), pa.array([packed], pa.binary())], ["unit", "words"])
+
+    for batch in batches:
+        if batch.num_rows:
+            got.append(batch)
+            rows += batch.num_rows
+        if rows > 1_000_000:
+            yield from flush()
+            got, rows = [], 0
+    if got:
+        yield from flush()
 
 
 class Known:
@@ -327,17 +363,18 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     tells whether decoding gives the text back (null for a null text; false where it holds the space mark itself).
     Repeated rows stay.
 
-    Each partition's distinct words are grouped by word over all partitions, encoded once, and sent back to where the
-    partition's texts go, packed on both sides; so a text is shuffled once, compressed, whatever its words. docs should
-    be a scan of files, whose partitions are the same each time; a word that is missing all the same is fused on the spot.
+    Partitions are cut into units of about UNIT_BYTES of text. The distinct words of each unit are grouped by word over
+    all units, encoded once, and sent back to where the unit's texts go, packed on both sides; so a text is shuffled
+    once, compressed, and no task holds more than a unit's words. docs should be a scan of files, whose partitions are
+    the same each time; a word that is missing all the same is fused on the spot.
     """
     pieces = Pieces(path)
-    rows = docs.select(F.spark_partition_id().alias("split"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.select("split", "text").mapInArrow(_distinct_words, "split int, word string")
-    words = found.groupBy("word").agg(F.collect_list("split").alias("carried"))
-    known = encode_words(words, pieces).select(F.explode("carried").alias("split"), "word", "ids")
-    sent = known.mapInArrow(_packed_words, "split int, words binary").groupBy("split").agg(F.collect_list("words").alias("words"))
-    paired = rows.mapInArrow(_packed_texts, "split int, docs binary").join(sent, "split", "left").select("docs", "words")
+    rows = docs.select(F.spark_partition_id().cast("long").alias("split"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = rows.mapInArrow(_distinct_words, "unit long, word string")
+    words = found.groupBy("word").agg(F.collect_list("unit").alias("carried"))
+    known = encode_words(words, pieces).select(F.explode("carried").alias("unit"), "word", "ids")
+    sent = known.mapInArrow(_packed_words, "unit long, words binary").groupBy("unit").agg(F.collect_list("words").alias("words"))
+    paired = rows.mapInArrow(_packed_texts, "unit long, docs binary").join(sent, "unit", "left").select("docs", "words")
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     return paired.mapInArrow(_encode(shared), "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
 

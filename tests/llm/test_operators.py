@@ -284,9 +284,12 @@ ODD = [
 ]
 
 
-def test_pieces_are_the_librarys_and_decode_back(spark):
+@pytest.mark.parametrize("unit", [9 << 20, 3000])
+def test_pieces_are_the_librarys_and_decode_back(spark, monkeypatch, unit):
     import sentencepiece
 
+    monkeypatch.setattr(sentencepiece_lattice, "UNIT_BYTES", unit)
+
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
