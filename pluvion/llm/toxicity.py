@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,28 +111,34 @@ def fit(labelled: DataFrame, limit: int = TRAIN_DOCS) -> OrdinalModel | None:
     rate = min(1.0, limit / max(usable.count(), 1))
     chosen = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(rate * (1 << 30)))
     got = chosen.select(F.col("grade").cast("int"), "text").mapInArrow(_document_features, "grade int, names array<string>, counts array<int>")
-    return fit_features(got.toArrow())
+    table_ = got.toArrow()
+    return fit_features(table_["grade"].to_numpy(), coded(table_))
 
 
-def fit_features(got: pa.Table) -> OrdinalModel | None:
+def coded(got: pa.Table) -> tuple:
+    """(codes, terms, rows, counts) of the sample's features, in as few bytes as they need."""
     names = got["names"].combine_chunks()
     flat = names.flatten().dictionary_encode()
-    codes = flat.indices.to_numpy(zero_copy_only=False)
-    terms = flat.dictionary.to_pylist()
-    rows = np.repeat(np.arange(got.num_rows), np.diff(names.offsets.to_numpy()))
-    values = np.log1p(got["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64))
-    grades, seen = got["grade"].to_numpy(), np.unique(got["grade"].to_numpy())
+    rows = np.repeat(np.arange(got.num_rows, dtype=np.int32), np.diff(names.offsets.to_numpy()))
+    counts = got["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.indices.to_numpy(zero_copy_only=False), flat.dictionary, rows, counts
+
+
+def fit_features(grades: np.ndarray, features: tuple) -> OrdinalModel | None:
+    codes, terms, rows, counts = features
+    seen = np.unique(grades)
     if len(seen) < 2:
         return None
-    grades = np.searchsorted(seen, grades)
     df = np.bincount(codes, minlength=len(terms))
     used = np.flatnonzero(df >= MIN_DOCS)
     used = used[np.argsort(-df[used], kind="stable")][:FEATURES]
-    new = np.full(len(terms), -1)
+    new = np.full(len(terms), -1, dtype=np.int32)
     new[used] = np.arange(len(used))
-    keep = new[codes] >= 0
-    w, cuts = fit_ordinal(rows[keep], new[codes[keep]], values[keep], grades, max(len(used), 1))
-    return OrdinalModel({terms[k]: i for i, k in enumerate(used)}, w, cuts)
+    cols = new[codes]
+    keep = cols >= 0
+    values = np.log1p(counts[keep].astype(np.float32))
+    w, cuts = fit_ordinal(rows[keep], cols[keep], values, np.searchsorted(seen, grades), max(len(used), 1))
+    return OrdinalModel({t: i for i, t in enumerate(terms.take(pa.array(used)).to_pylist())}, w, cuts)
 
 
 def _score(shared):
@@ -176,23 +183,20 @@ MARK_ODDS, MARK_DOCS = 3.0, 8
 MARK_BOUNDS = (3, 6)
 
 
-def severity_grades(got: pa.Table) -> np.ndarray:
+def severity_grades(toxic: np.ndarray, features: tuple) -> np.ndarray:
     """Ordered grades from two-valued labels: 0 if clean; toxic documents by how many marks of toxicity they hold.
 
     The labels tell only whether a document is toxic. Marks are whole words whose presence in toxic documents of the
     sample, against clean ones, has log odds of MARK_ODDS or more.
     """
-    names = got["names"].combine_chunks()
-    flat = names.flatten().dictionary_encode()
-    codes, terms = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
-    rows = np.repeat(np.arange(got.num_rows), np.diff(names.offsets.to_numpy()))
-    counts = got["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    toxic = got["grade"].to_numpy() > 0
+    codes, terms, rows, counts = features
     yes = np.bincount(codes[toxic[rows]], minlength=len(terms))
-    no = np.bincount(codes[~toxic[rows]], minlength=len(terms))
+    no = np.bincount(codes, minlength=len(terms)) - yes
     odds = np.log((yes + 0.5) / (toxic.sum() + 1)) - np.log((no + 0.5) / ((~toxic).sum() + 1))
-    mark = (yes >= MARK_DOCS) & (odds >= MARK_ODDS) & np.array([t[0] == "=" for t in terms], dtype=bool)
-    hits = np.bincount(rows, weights=np.where(mark[codes], counts, 0), minlength=got.num_rows)
+    whole = pc.starts_with(terms, "=").to_numpy(zero_copy_only=False)
+    mark = (yes >= MARK_DOCS) & (odds >= MARK_ODDS) & whole
+    hit = mark[codes]
+    hits = np.bincount(rows[hit], weights=counts[hit], minlength=len(toxic))
     return np.where(toxic, 1 + np.searchsorted(MARK_BOUNDS, hits, side="right"), 0).astype(np.int32)
 
 
@@ -209,7 +213,9 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS)
     ).toArrow()
     if not got.num_rows:
         return None
-    return fit_features(got.set_column(0, "grade", pa.array(severity_grades(got))))
+    toxic, features = got["grade"].to_numpy() > 0, coded(got)
+    del got
+    return fit_features(severity_grades(toxic, features), features)
 
 
 def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
