@@ -1,5 +1,7 @@
 """The pipeline's stages, each against what it says it does."""
 
+import random
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -54,6 +56,45 @@ def test_dedup_keeps_rows_without_an_id(spark):
     assert sorted((r.doc_id or -1) for r in got.collect()) == [-1, 3]
 
 
+def test_dedup_equals_brute_force_jaccard(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for group in range(60):
+        base = rng.choices(words, k=rng.choice([3, 5, 30, 120, 400]))
+        for _ in range(rng.choice([1, 2, 6])):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 25)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    crowd = rng.choices(words, k=100)  # a dense group, with a line that all of it and others hold
+    texts += [" ".join([*crowd[:k], rng.choice(words), *crowd[k:]]) for k in range(90)]
+    texts += [" ".join([*crowd[:60], *rng.choices(words, k=8)]) for _ in range(30)] + ["", " ", None]
+    rng.shuffle(texts)
+    sets = []
+    for text in texts:
+        w = (text or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(sets)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    far = 0
+    prints = {r.doc_id: r.fp for r in simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5).collect()}
+    for j, b in enumerate(sets):
+        for i in range(j):
+            if 5 * len(sets[i] & b) >= 4 * len(sets[i] | b):
+                far += ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() > 4
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    rows = [(i, t, "en", "s", 1, 0) for i, t in enumerate(texts)]
+    got = P.dedup(spark, spark.createDataFrame(rows, SCHEMA), SF)
+    assert far > 100
+    assert sorted(r.doc_id for r in got.collect()) == [k for k in range(len(root)) if top(k) == k]
+
+
 def test_entry_works_without_the_operators(tmp_path):
     import os
     import shutil
