@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +99,22 @@ def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     return mixed.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot", "mix_pos").select(*docs.columns)
 
 
+def with_place(mixed: DataFrame, name: str = "mix_place") -> DataFrame:
+    """mixed, as in_mixed_order gave it or written by Spark and read again, with a long that grows along the mix.
+
+    Partitions were written in order, each to files numbered by its number, and rows keep their order in a file; so a
+    row's place is known from its file's name and its index there, however a scan deals the files out. Null for files
+    with other names.
+    """
+    try:
+        mixed.select("_metadata.file_name", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:  # not a scan of files
+        return mixed.withColumn(name, F.monotonically_increasing_id())
+    numbers = [F.try_element_at(F.regexp_extract_all("_metadata.file_name", F.lit(p)), F.lit(1)).cast("long") for p in (r"^part-(\d+)-", r"-c(\d+)\.")]
+    place = numbers[0] * F.lit(1 << 43) + numbers[1] * F.lit(1 << 33) + F.col("_metadata.row_index")
+    return mixed.withColumn(name, place)
+
+
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document in a mix where a source weighs the square root of its rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")

@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import table
 
@@ -263,7 +264,8 @@ def _stream(t: pa.Table) -> bytes:
 def _packed_texts(batches):
     """The rows of each unit as one compressed Arrow stream."""
     for unit, parts in _by_unit(batches):
-        t = pa.Table.from_batches(list(parts)).select([1, 2])
+        t = pa.Table.from_batches(list(parts))
+        t = t.select(t.column_names[1:])
         yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([_stream(t)], pa.binary())], ["unit", "docs"])
 
 
@@ -349,15 +351,15 @@ def _encode(shared):
                             same.append(None if text is None else ok and "▁" not in text)
                         ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.intc)) if flat else pa.array([], pa.int32()))
                         yield pa.RecordBatch.from_arrays(
-                            [some.column(0), ids, pa.array(np.diff(offsets).astype(np.int64)), pa.array(same, pa.bool_())],
-                            ["doc_id", "ids", "n_pieces", "round_trip"],
+                            [some.column(0), ids, pa.array(np.diff(offsets).astype(np.int64)), pa.array(same, pa.bool_()), *some.columns[2:]],
+                            ["doc_id", "ids", "n_pieces", "round_trip", *some.schema.names[2:]],
                         )
 
     return run
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, ids, n_pieces, round_trip.
+def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, ids, n_pieces, round_trip, and the columns of docs named in carry.
 
     ids are the library's for the whole text, without begin or end tokens; null and empty texts have none. round_trip
     tells whether decoding gives the text back (null for a null text; false where it holds the space mark itself).
@@ -369,14 +371,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     the same each time; a word that is missing all the same is fused on the spot.
     """
     pieces = Pieces(path)
-    rows = docs.select(F.spark_partition_id().cast("long").alias("split"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.spark_partition_id().cast("long").alias("split"), F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     found = rows.mapInArrow(_distinct_words, "unit long, word string")
     words = found.groupBy("word").agg(F.collect_list("unit").alias("carried"))
     known = encode_words(words, pieces).select(F.explode("carried").alias("unit"), "word", "ids")
     sent = known.mapInArrow(_packed_words, "unit long, words binary").groupBy("unit").agg(F.collect_list("words").alias("words"))
     paired = rows.mapInArrow(_packed_texts, "unit long, docs binary").join(sent, "unit", "left").select("docs", "words")
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    return paired.mapInArrow(_encode(shared), "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
+    fields = StructType.fromDDL("doc_id long, ids array<int>, n_pieces long, round_trip boolean").fields
+    return paired.mapInArrow(_encode(shared), StructType([*fields, *[rows.schema[c] for c in carry]]))
 
 
 def decode_ids(ids, names: list[str], byte_of: dict[int, int]) -> str:

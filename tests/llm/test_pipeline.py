@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from pluvion.llm import simhash
+from pluvion.llm import mixing, simhash
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, more int"
@@ -95,6 +95,26 @@ def test_dedup_equals_brute_force_jaccard(spark):
     assert sorted(r.doc_id for r in got.collect()) == [k for k in range(len(root)) if top(k) == k]
 
 
+def test_rows_tell_their_place_in_the_mix(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i} " + "word " * (i % 40), "en", "small" if i % 9 == 0 else "large", 1, 0) for i in range(4000)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    source = {r[0]: r[3] for r in rows}
+    monkeypatch.setattr(P, "STAGES", P.STAGES[-2:])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # a scan of many splits, packed by size
+    try:
+        got = sorted(P.run(spark, str(tmp_path)).collect(), key=lambda r: r.mix_place)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({r.mix_place for r in got}) == len(rows)
+    slots = mixing.mix(spark.read.parquet(str(tmp_path / "documents.parquet"))).orderBy("mix_slot", "mix_pos").collect()
+    assert [r.doc_id for r in got] == [r.doc_id for r in slots]
+    small = sum(s == "small" for s in source.values())
+    share = small**0.5 / (small**0.5 + (len(rows) - small) ** 0.5)
+    for n in range(256, 1400, 64):  # until the small source runs out; one block of rows off at most, and a part of another
+        assert abs(sum(source[r.doc_id] == "small" for r in got[:n]) - n * share) <= 128
+
+
 def test_entry_works_without_the_operators(tmp_path):
     import os
     import shutil
