@@ -2,36 +2,44 @@
 
 Texts are cut into words where no piece of the model can reach across. The substrings of each distinct word, no longer
 than the longest piece, are equi-joined to the piece table; what matches are the edges of the word's lattice. They are
-grouped by word and folded with Spark's `aggregate`.
+grouped by word and folded with Spark's `aggregate`; each document gets its words' ids by a join. A bounded head of
+frequent words, encoded by the same lattice, is resolved where texts are read, which keeps the join to the rare ones; the
+head only saves work, so it may come from a sample of documents.
 
 The fold follows the kind of the model. The vocabulary here is a BPE model: its scores are merge priorities, and the
 path of the greatest sum (Viterbi) is not what the library returns. So edges are taken in order of priority, leftmost
 first, and an edge that now spans exactly two symbols fuses them; the state is the set of symbol bounds, as bits of a
 long. One pass is exact because every piece (runs of spaces aside) is built from pieces of better priority, which is
-checked on loading.
+checked on loading. Runs of spaces have one priority, the last: they grow from the left, so their edges are taken by
+end, the shortest of an end first.
+
+A word longer than a long has bits is cut further, between neighbours that no piece holds side by side. What is still too
+long (one letter a thousand times) goes through the same lattice in chunks, and its edges are folded by the same rule over
+arrays in Python, as a state that is copied with each edge would cost the square of the length.
 """
 
 from __future__ import annotations
 
 import heapq
-import io
+import struct
 from array import array
-from itertools import groupby
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
+from ..operators.components import stored
 from .common import table
 
-#: Words of more characters than bits of the fold's state, and those behind a run of spaces, whose pieces are of equal
-#: priority, are fused by the same rule with an agenda where their text is read.
-LONGEST, RUN = 62, "    "
-#: Text of a unit, in bytes: what a task holds at once, with its words.
-UNIT_BYTES = 9 << 20
+#: Characters of a word that the bits of the fold's state can hold, and starts of a chunk of longer words.
+LONGEST, CHUNK = 62, 64
+#: Words in the head at most, and documents of the sample that it comes from, about.
+HEAD, HEAD_DOCS = 262_144, 20_000
 WORD = regex.compile(r" *\p{L}+| *[^\p{L} ]+| +")
 
 
@@ -50,18 +58,25 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.unknown = sp.unk_id()
         self.longest = max(map(len, self.rank))
+        #: How ids are packed, and the value that stands for a word to be looked up.
+        self.code = "H" if n < 65_535 else "I"
+        self.gap = (1 << 8 * array(self.code).itemsize) - 1
+        self.pairs = {x[i : i + 2] for x in self.rank for i in range(len(x) - 1)}
         self._check()
 
     def _check(self) -> None:
+        alike = Counter(rank for name, (rank, _) in self.rank.items() if name.strip() and len(name) > 1)
+        if any(n > 1 for n in alike.values()):
+            raise ValueError("pieces share a priority")
         for name, (rank, _) in self.rank.items():
             if WORD.fullmatch(name) is None:
                 raise ValueError(f"piece {name!r} reaches across words")
-            symbols, worst = self.merge(name)
+            symbols, worst = self._by_agenda(name)
             if name.strip() and (symbols != [name] or worst > rank):
                 raise ValueError(f"piece {name!r} is not built from pieces of better priority")
 
-    def merge(self, word: str) -> tuple[list[str], float]:
-        """The symbols of a word, and the worst priority of a fusion before the last.
+    def _by_agenda(self, word: str) -> tuple[list[str], float]:
+        """The symbols of a piece's own text, and the worst priority of a fusion before the last; only for the check.
 
         The pair of neighbours that make the piece of best priority fuses, the leftmost of equals, until none does.
         """
@@ -101,57 +116,22 @@ class Pieces:
             return [r[1]]
         return [self.byte_id[b] for b in symbol.encode()] if self.byte_id else [self.unknown]
 
-    def encode_word(self, word: str) -> list[int]:
-        return [i for symbol in self.merge(word)[0] for i in self.ids(symbol)]
-
-
-def words_of(text: str | None) -> list[str]:
-    """The words of a text behind the model's leading space; none for null or empty."""
-    return WORD.findall(" " + text.replace("▁", " ")) if text else []
+    def words(self, text: str | None) -> list[str]:
+        """The words of a text behind the model's leading space; none for null or empty."""
+        found = WORD.findall(" " + text.replace("▁", " ")) if text else []
+        if found and max(map(len, found)) > LONGEST:
+            found = [part for w in found for part in (self.cut(w) if len(w) > LONGEST else (w,))]
+        return found
 
+    def cut(self, word: str) -> list[str]:
+        """The word's parts between neighbours that no piece holds side by side: no fusion reaches across."""
+        at = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
+        return [word[x:y] for x, y in zip(at, at[1:])]
 
-def _units(batches):
-    """(unit, batch) of a partition's rows (split, doc_id, text): a unit ends once it holds UNIT_BYTES of text.
 
-    Rows come in the order of the files, so a partition has the same units each time.
-    """
-    have, k = 0, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        split = batch.column(0)[0].as_py()
-        sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(2)])
-        start = 0
-        for i, size in enumerate(sizes.tolist()):
-            have += size
-            if have >= UNIT_BYTES:
-                yield split << 24 | k, batch.slice(start, i + 1 - start)
-                start, have, k = i + 1, 0, k + 1
-        if start < batch.num_rows:
-            yield split << 24 | k, batch.slice(start)
-
-
-def _by_unit(batches):
-    """(unit, its batches)."""
-    for unit, group in groupby(_units(batches), key=lambda x: x[0]):
-        yield unit, (batch for _, batch in group)
-
-
-def _distinct_words(batches):
-    for unit, parts in _by_unit(batches):
-        words: set[str] = set()
-        for batch in parts:
-            for text in batch.column(2).to_pylist():
-                words.update(words_of(text))
-        short = [w for w in words if len(w) <= LONGEST and not w.startswith(RUN)]
-        del words
-        for s in range(0, len(short), 20_000):
-            part = short[s : s + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([unit] * len(part), pa.int64()), pa.array(part, pa.string())], ["unit", "word"])
-
-
-#: An edge is one long: order of priority, start, end and id of its piece; so edges sort as they are taken.
-ORDER_AT, START_AT, END_AT, PLACE, ID = 36, 30, 24, 63, (1 << 24) - 1
+#: An edge is one long: order of priority, end, start counted from PLACE down, and id of its piece; so edges sort as they
+#: are taken. Edges of one priority have one length (then this is the order of their starts) or are runs of spaces.
+ORDER_AT, END_AT, START_AT, PLACE, ID = 36, 30, 24, 63, (1 << 24) - 1
 #: Single characters below this code point need no edge: a literal array has their ids.
 PLAIN = 1024
 
@@ -165,7 +145,7 @@ def _bit(place: Column) -> Column:
 
 
 def _start(x: Column) -> Column:
-    return _shift("shiftright", x, START_AT).bitwiseAND(F.lit(PLACE)).cast("int")
+    return (F.lit(PLACE) - _shift("shiftright", x, START_AT).bitwiseAND(F.lit(PLACE))).cast("int")
 
 
 def _end(x: Column) -> Column:
@@ -212,34 +192,32 @@ def chosen_ids(masks: Column, bounds: Column, word: Column, pieces: Pieces) -> C
     return F.flatten(F.transform(F.array_sort(F.concat(whole, F.transform(alone, single))), lambda x: x["ids"]))
 
 
+def _edge_table(words: DataFrame, pieces: Pieces, columns: str) -> DataFrame:
+    """The pieces that an edge can stand for; its size is the vocabulary's."""
+    place = {rank: k for k, rank in enumerate(sorted({rank for rank, _ in pieces.rank.values()}))}
+    rows = [(name, place[rank], i) for name, (rank, i) in pieces.rank.items() if len(name) > 1 or ord(name) >= PLAIN]
+    lookup = words.sparkSession.createDataFrame(rows, "sub string, place long, id int")
+    return F.broadcast(lookup.selectExpr("sub", columns))
+
+
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words(word, carried) with ids; words are distinct, not empty and of at most LONGEST characters.
+    """(word, ids) of words(word): distinct, not empty and of at most LONGEST characters.
 
-    The chain keeps the rows of a word where the grouping of `words` by word has put them, so it shuffles nothing: the
-    piece table is broadcast, its size is the vocabulary's.
+    The chain keeps the rows of a word where the grouping of `words` by word has put them, so it shuffles nothing.
     """
     if pieces.byte_id and any(pieces.byte_id[b] != pieces.byte_id[0] + b for b in range(256)):
         raise ValueError("byte pieces are not in order")
-    place = {rank: k for k, rank in enumerate(sorted({rank for rank, _ in pieces.rank.values()}))}
-    rows = [
-        (name, (place[rank] << ORDER_AT) | i) for name, (rank, i) in pieces.rank.items() if len(name) > 1 or ord(name) >= PLAIN
-    ]
-    lookup = words.sparkSession.createDataFrame(rows, "sub string, code long")
+    lookup = _edge_table(words, pieces, f"shiftleft(place, {ORDER_AT}) | id as code")
     n = F.char_length("word")
-    starts = words.select("word", "carried", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select(
-        "word", "carried", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + pieces.longest))).alias("e")
-    )
+    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + pieces.longest))).alias("e"))
     s, e = F.col("s").cast("long"), F.col("e").cast("long")
-    head = (F.col("s") == 0) & (F.col("e") == 1)  # one row a word stays whatever matches
     subs = spans.select(
-        "word", F.when(head, F.col("carried")).alias("carried"), F.expr("substring(word, s + 1, e - s)").alias("sub"),
-        (_shift("shiftleft", s, START_AT) + _shift("shiftleft", e, END_AT)).alias("span"),
+        "word", F.expr("substring(word, s + 1, e - s)").alias("sub"), ((F.col("s") == 0) & (F.col("e") == 1)).alias("head"),
+        (_shift("shiftleft", F.lit(PLACE) - s, START_AT) + _shift("shiftleft", e, END_AT)).alias("span"),
     )
-    edges = subs.join(F.broadcast(lookup), "sub", "left").where("code is not null or carried is not null")
-    grouped = edges.groupBy("word").agg(
-        F.collect_list(F.col("code") + F.col("span")).alias("edges"), F.first("carried", ignorenulls=True).alias("carried")
-    )
+    edges = subs.join(lookup, "sub", "left").where("code is not null or head")  # one row a word stays whatever matches
+    grouped = edges.groupBy("word").agg(F.collect_list(F.col("code") + F.col("span")).alias("edges"))
 
     def mask(x: Column) -> Column:
         a, b = _bit(_start(x)), _bit(_end(x))
@@ -248,138 +226,194 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
             x.bitwiseAND(F.lit(ID)).cast("int").alias("id"),
         )
 
-    masked = grouped.select("word", "carried", F.transform(F.sort_array("edges"), mask).alias("masks"))
-    folded = masked.select("word", "carried", "masks", fold_edges(F.col("masks"), F.col("word")).alias("bounds"))
-    ids = chosen_ids(F.col("masks"), F.col("bounds"), F.col("word"), pieces)
-    return folded.select("word", "carried", ids.alias("ids"))
-
-
-def _stream(t: pa.Table) -> bytes:
-    sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
-        writer.write_table(t, max_chunksize=4096)
-    return sink.getvalue()
-
-
-def _packed_texts(batches):
-    """The rows of each unit as one compressed Arrow stream."""
-    for unit, parts in _by_unit(batches):
-        t = pa.Table.from_batches(list(parts))
-        t = t.select(t.column_names[1:])
-        yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([_stream(t)], pa.binary())], ["unit", "docs"])
-
-
-def _packed_words(batches):
-    """The words of each unit, as compressed Arrow streams of what a task has of them."""
-    got, rows = [], 0
-
-    def flush():
-        t = pa.Table.from_batches(got)
-        t = t.take(pa.array(np.argsort(t.column(0).to_numpy(), kind="stable")))
-        units = t.column(0).to_numpy()
-        at = np.concatenate([[0], np.flatnonzero(units[1:] != units[:-1]) + 1, [len(units)]])
-        for lo, hi in zip(at, at[1:]):
-            packed = _stream(t.slice(lo, hi - lo).select([1, 2]))
-            yield pa.RecordBatch.from_arrays([pa.array([int(units[lo])], pa.int64()), pa.array([packed], pa.binary())], ["unit", "words"])
-
-    for batch in batches:
-        if batch.num_rows:
-            got.append(batch)
-            rows += batch.num_rows
-        if rows > 1_000_000:
-            yield from flush()
-            got, rows = [], 0
-    if got:
-        yield from flush()
-
-
-class Known:
-    """Words with their ids: one flat array, so that a word costs little more than its text."""
-
-    def __init__(self, pieces: Pieces):
-        self.pieces, self.at = pieces, {}
-        self.flat, self.ends = array("i"), array("q", [0])
-        self.good = bytearray()
-
-    def load(self, part: pa.RecordBatch) -> None:
-        ids = part.column(1)
-        base = len(self.ends) - 1
-        self.at.update(zip(part.column(0).to_pylist(), range(base, base + part.num_rows)))
-        offsets = ids.offsets.to_numpy()
-        self.flat.frombytes(ids.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.intc).tobytes())
-        self.ends.frombytes((offsets[1:] - offsets[0] + self.ends[-1]).astype(np.int64).tobytes())
-        self.good.extend(bytes(part.num_rows))
-
-    def add(self, word: str) -> int:
-        self.flat.extend(self.pieces.encode_word(word))
-        self.ends.append(len(self.flat))
-        self.good.append(0)
-        k = self.at[word] = len(self.ends) - 2
-        return k
-
-    def encode(self, text: str | None, out: array) -> bool:
-        """Appends the text's ids; tells whether decoding its words gives them back."""
-        same = True
-        for w in words_of(text):
-            k = self.at.get(w)
-            if k is None:  # too long, or behind a run of spaces
-                k = self.add(w)
-            ids = self.flat[self.ends[k] : self.ends[k + 1]]
-            out.extend(ids)
-            if not self.good[k]:
-                self.good[k] = 1 if decode_ids(ids, self.pieces.names, self.pieces.byte_of) == w else 2
-            same &= self.good[k] == 1
-        return same
-
-
-def _encode(shared):
+    masked = grouped.select("word", F.transform(F.sort_array("edges"), mask).alias("masks"))
+    folded = masked.select("word", "masks", fold_edges(F.col("masks"), F.col("word")).alias("bounds"))
+    return folded.select("word", chosen_ids(F.col("masks"), F.col("bounds"), F.col("word"), pieces).alias("ids"))
+
+
+def fold_in_arrays(word: str, edges: list[tuple], pieces: Pieces) -> list[int]:
+    """The ids of a word from its edges (place, start, end, id): the fold of fold_edges, with bounds in arrays."""
+    end, ids = list(range(1, len(word) + 1)), [-1] * len(word)
+    for _, b, a, i in sorted((place, b, -a, i) for place, a, b, i in edges):
+        a = -a
+        mid = end[a]
+        if mid and mid < b and end[mid] == b:
+            end[a], end[mid], ids[a] = b, 0, i
+    out, at = [], 0
+    while at < len(word):
+        out += [ids[at]] if ids[at] >= 0 else pieces.ids(word[at])
+        at = end[at]
+    return out
+
+
+def _fold_long(shared):
+    def run(batches):
+        pieces: Pieces = shared.value
+        for batch in batches:
+            for word, edges in zip(batch.column(0), batch.column(1)):
+                word = word.as_py()
+                rows = [edges.values.field(k).to_pylist() for k in range(4)] if edges.is_valid else [[]] * 4
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([word], pa.string()), pa.array([fold_in_arrays(word, list(zip(*rows)), pieces)], pa.list_(pa.int32()))], ["word", "ids"]
+                )
+
+    return run
+
+
+def encode_long_words(words: DataFrame, pieces: Pieces, shared) -> DataFrame:
+    """(word, ids) of words(word), distinct and of any length: chunks that overlap by the longest piece give the edges."""
+    keyed = words.select("word", F.sha2("word", 256).alias("key"))
+    bases = keyed.select("key", "word", F.explode(F.expr(f"sequence(0, char_length(word) - 1, {CHUNK})")).alias("base"))
+    parts = bases.select("key", "base", F.expr(f"substring(word, base + 1, {CHUNK + pieces.longest - 1})").alias("part"))
+    n = F.char_length("part")
+    starts = parts.select("key", "base", "part", F.explode(F.sequence(F.lit(0), F.least(n, F.lit(CHUNK)) - 1)).alias("s"))
+    spans = starts.select("*", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + pieces.longest))).alias("e"))
+    subs = spans.selectExpr("key", "substring(part, s + 1, e - s) as sub", "base + s as a", "base + e as b")
+    found = subs.join(_edge_table(words, pieces, "struct(place, id) as piece"), "sub")
+    edges = found.groupBy("key").agg(F.collect_list(F.struct("piece.place", "a", "b", "piece.id")).alias("edges"))
+    return keyed.join(edges, "key", "left").select("word", "edges").mapInArrow(_fold_long(shared), "word string, ids array<int>")
+
+
+def _judged(shared):
+    """(word, ids, good): ids as bytes; good tells whether decoding gives the word back."""
+
+    def run(batches):
+        pieces: Pieces = shared.value
+        for batch in batches:
+            words, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            good = [decode_ids(x, pieces.names, pieces.byte_of) == w for w, x in zip(words, ids)]
+            packed = [array(pieces.code, x).tobytes() for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(good, pa.bool_())], ["word", "ids", "good"])
+
+    return run
+
+
+def _frequent(shared):
+    def run(batches):
+        pieces, total = shared.value, Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                total.update(pieces.words(text))
+        short = {w: n for w, n in total.items() if len(w) <= LONGEST}
+        yield pa.RecordBatch.from_arrays([pa.array(list(short), pa.string()), pa.array(list(short.values()), pa.int64())], ["word", "n"])
+
+    return run
+
+
+def _templates(shared, known):
+    """Each row's ids as far as the head has them, and its words that are still to be looked up."""
+
+    def run(batches):
+        pieces: Pieces = shared.value
+        head, bad = known.value
+        gap = array(pieces.code, [pieces.gap]).tobytes()
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for s in range(0, batch.num_rows, 512):
+                part = batch.slice(s, 512)
+                bodies, rare, long_, same = [], [], [], []
+                for text in part.column(0).to_pylist():
+                    words = pieces.words(text)
+                    ids = list(map(head.get, words))
+                    mine, wide, asked, i = {}, {}, array("i"), -1
+                    for _ in range(ids.count(None)):
+                        i = ids.index(None, i + 1)
+                        w = words[i]
+                        asked.append(mine.setdefault(w, len(mine)) if len(w) <= LONGEST else -1 - wide.setdefault(w, len(wide)))
+                        ids[i] = gap
+                    bodies.append(pack(struct.pack("<i", len(asked)) + asked.tobytes() + b"".join(ids)))
+                    rare.append(list(mine)), long_.append(list(wide))
+                    same.append(None if text is None else "▁" not in text and (not bad or bad.isdisjoint(words)))
+                strings = pa.list_(pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[1:], pa.array(bodies, pa.binary()), pa.array(rare, strings), pa.array(long_, strings), pa.array(same, pa.bool_())],
+                    [*part.schema.names[1:], "body", "rare", "long", "same"],
+                )
+
+    return run
+
+
+def _filled(shared):
     def run(batches):
         pieces: Pieces = shared.value
+        kind = np.dtype(f"u{array(pieces.code).itemsize}")
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for k in range(batch.num_rows):
-                known = Known(pieces)
-                for stream in batch.column(1)[k].values or []:
-                    for part in pa.ipc.open_stream(stream.as_buffer()):
-                        known.load(part)
-                for part in pa.ipc.open_stream(batch.column(0)[k].as_buffer()):
-                    for s in range(0, part.num_rows, 256):
-                        some = part.slice(s, 256)
-                        flat, offsets, same = array("i"), [0], []
-                        for text in some.column(1).to_pylist():
-                            ok = known.encode(text, flat)
-                            offsets.append(len(flat))
-                            same.append(None if text is None else ok and "▁" not in text)
-                        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.intc)) if flat else pa.array([], pa.int32()))
-                        yield pa.RecordBatch.from_arrays(
-                            [some.column(0), ids, pa.array(np.diff(offsets).astype(np.int64)), pa.array(same, pa.bool_()), *some.columns[2:]],
-                            ["doc_id", "ids", "n_pieces", "round_trip", *some.schema.names[2:]],
-                        )
+            for s in range(0, batch.num_rows, 512):
+                part = batch.slice(s, 512)
+                ids, same = [], part.column(1).to_pylist()
+                for k, (body, got) in enumerate(zip(part.column(0), part.column(2))):
+                    raw = unpack(body.as_py())
+                    n = struct.unpack_from("<i", raw)[0]
+                    own = np.frombuffer(raw, dtype=kind, offset=4 + 4 * n)
+                    if n:
+                        rows = got.values if got.is_valid else None
+                        at = dict(zip(rows.field(0).to_pylist(), rows.field(1).to_pylist())) if rows is not None else {}
+                        words = [at[x] for x in np.frombuffer(raw, dtype=np.int32, count=n, offset=4).tolist()]  # a lost word raises
+                        more = np.array([len(w) // kind.itemsize for w in words])
+                        gaps = np.flatnonzero(own == pieces.gap)
+                        sizes = np.ones(len(own), dtype=np.int64)
+                        sizes[gaps] = more
+                        start = np.cumsum(sizes) - sizes
+                        out = np.empty(int(sizes.sum()), dtype=np.int32)
+                        out[start[own != pieces.gap]] = own[own != pieces.gap]
+                        inner = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+                        out[np.repeat(start[gaps], more) + inner] = np.frombuffer(b"".join(words), dtype=kind)
+                        same[k] = same[k] and all(rows.field(2).to_pylist())
+                    else:
+                        out = own.astype(np.int32)
+                    ids.append(out)
+                sizes = np.array([len(x) for x in ids], dtype=np.int64)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(3), lists, pa.array(sizes), pa.array(same, pa.bool_()), *part.columns[4:]],
+                    ["doc_id", "ids", "n_pieces", "round_trip", *part.schema.names[4:]],
+                )
 
     return run
 
 
-def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), head: int = HEAD) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, ids, n_pieces, round_trip, and the columns of docs named in carry.
 
     ids are the library's for the whole text, without begin or end tokens; null and empty texts have none. round_trip
     tells whether decoding gives the text back (null for a null text; false where it holds the space mark itself).
-    Repeated rows stay.
+    Repeated rows stay, each with its ids; a null doc_id stays null. Very long texts and words take the same path as any.
+    An empty table gives an empty result. Columns of docs that are not named in carry play no part, whatever their names.
 
-    Partitions are cut into units of about UNIT_BYTES of text. The distinct words of each unit are grouped by word over
-    all units, encoded once, and sent back to where the unit's texts go, packed on both sides; so a text is shuffled
-    once, compressed, and no task holds more than a unit's words. docs should be a scan of files, whose partitions are
-    the same each time; a word that is missing all the same is fused on the spot.
+    Texts are read once: what the head of frequent words leaves open is written with the row, packed, and its words are
+    encoded once for all documents that hold them. Words outside the head have a bounded share of all words each, so
+    neither the join by word nor a document's own list is a group that grows with the table.
     """
+    spark = docs.sparkSession
     pieces = Pieces(path)
-    rows = docs.select(F.spark_partition_id().cast("long").alias("split"), F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
-    found = rows.mapInArrow(_distinct_words, "unit long, word string")
-    words = found.groupBy("word").agg(F.collect_list("unit").alias("carried"))
-    known = encode_words(words, pieces).select(F.explode("carried").alias("unit"), "word", "ids")
-    sent = known.mapInArrow(_packed_words, "unit long, words binary").groupBy("unit").agg(F.collect_list("words").alias("words"))
-    paired = rows.mapInArrow(_packed_texts, "unit long, docs binary").join(sent, "unit", "left").select("docs", "words")
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    shared = spark.sparkContext.broadcast(pieces)
+    judged = "word string, ids binary, good boolean"
+
+    texts = docs.select("doc_id", "text")
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, HEAD_DOCS / max(texts.count(), 1)) * (1 << 30))
+    counted = texts.where(share).select("text").mapInArrow(_frequent(shared), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    frequent = counted.orderBy(F.desc("n"), "word").limit(head).select("word").repartition(8, "word")
+    got = encode_words(frequent, pieces).mapInArrow(_judged(shared), judged).toArrow()  # `head` rows at most
+    names = got["word"].to_pylist()
+    bad = frozenset(w for w, good in zip(names, got["good"].to_pylist()) if not good)
+    known = spark.sparkContext.broadcast((dict(zip(names, got["ids"].to_pylist())), bad))
+
+    named = {f"carry_{k}": c for k, c in enumerate(carry)}
+    rows = docs.select("text", F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(a) for a, c in named.items()])
+    more = StructType.fromDDL("body binary, rare array<string>, long array<string>, same boolean").fields
+    found = stored(rows.mapInArrow(_templates(shared, known), StructType([*rows.schema.fields[1:], *more])))
+    rare = found.select("uid", F.posexplode("rare").alias("k", "word"))
+    wide = found.select("uid", F.posexplode("long").alias("k", "word")).select("uid", (-1 - F.col("k")).alias("k"), "word")
+    known_rare = encode_words(rare.select("word").distinct(), pieces).mapInArrow(_judged(shared), judged)
+    known_wide = encode_long_words(wide.select("word").distinct(), pieces, shared).mapInArrow(_judged(shared), judged)
+    answers = rare.join(known_rare, "word").unionByName(wide.join(known_wide, "word"))
+    own = answers.groupBy("uid").agg(F.collect_list(F.struct("k", "ids", "good")).alias("got"))
+    paired = found.join(own, "uid", "left").select("body", "same", "got", "doc_id", *named)
     fields = StructType.fromDDL("doc_id long, ids array<int>, n_pieces long, round_trip boolean").fields
-    return paired.mapInArrow(_encode(shared), StructType([*fields, *[rows.schema[c] for c in carry]]))
+    out = paired.mapInArrow(_filled(shared), StructType([*fields, *[StructField(a, rows.schema[a].dataType) for a in named]]))
+    return out.select("doc_id", "ids", "n_pieces", "round_trip", *[F.col(a).alias(c) for a, c in named.items()])
 
 
 def decode_ids(ids, names: list[str], byte_of: dict[int, int]) -> str:

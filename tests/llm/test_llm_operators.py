@@ -280,23 +280,21 @@ def test_token_counts_are_the_librarys(spark):
 
 ODD = [
     "", None, " ", "  a", "▁x", "a" * 5000, "中文" * 200, "\U0001f600 ①ﬁ", "x́ नि", "=" * 300, " " * 70, "tab\there\n\n  y", "ab" * 31,
-    "ab" * 40, "\x00a", "it's (ok).²", "x" + " " * 40 + "y", " " * 33, "a   b    c     d",
+    "ab" * 40, "\x00a", "x" * 61 + "=" * 3 + "y" * 64, " " * 5 + "the" * 90, "\U0001f600" * 200, " " * 1000 + "the", "it's (ok).²", "x" + " " * 40 + "y", " " * 33, "a   b    c     d",
 ]
 
 
-@pytest.mark.parametrize("unit", [9 << 20, 3000])
-def test_pieces_are_the_librarys_and_decode_back(spark, monkeypatch, unit):
+@pytest.mark.parametrize("head", [0, 3000])
+def test_pieces_are_the_librarys_and_decode_back(spark, head):
     import sentencepiece
 
-    monkeypatch.setattr(sentencepiece_lattice, "UNIT_BYTES", unit)
-
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     docs = docs.withColumn("doc_id", F.col("doc_id") + 1000)
     df = frame(spark, ODD).select("doc_id", "text").union(docs).union(docs.where("doc_id = 1001"))
     texts = {r.doc_id: r.text for r in df.collect()}
-    coded = sentencepiece_lattice.encode(df, path).persist()
+    coded = sentencepiece_lattice.encode(df, path, head=head).persist()
     assert coded.count() == df.count()
     for r in coded.collect():
         assert r.ids == sp.encode(texts[r.doc_id] or "") and r.n_pieces == len(r.ids)
@@ -307,6 +305,16 @@ def test_pieces_are_the_librarys_and_decode_back(spark, monkeypatch, unit):
     assert sentencepiece_lattice.encode(df.where("doc_id < -1"), path).count() == 0
 
 
+def test_pieces_of_clashing_columns_and_null_ids(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    df = spark.createDataFrame([(None, "one two", 1, "w"), (7, "one two", 2, None), (7, "one two", 2, None)], "doc_id long, text string, ids int, body string")
+    out = sentencepiece_lattice.encode(df, path, carry=("body",)).collect()
+    assert sorted((r.doc_id or 0, r.body or "") for r in out) == [(0, "w"), (7, ""), (7, "")] and all(r.ids == sp.encode("one two") for r in out)
+
+
 # toxicity
 
 
