@@ -21,7 +21,6 @@ arrays in Python, as a state that is copied with each edge would cost the square
 from __future__ import annotations
 
 import heapq
-import struct
 from array import array
 from collections import Counter
 
@@ -33,7 +32,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..operators.components import stored
 from .common import table
 
 #: Characters of a word that the bits of the fold's state can hold, and starts of a chunk of longer words.
@@ -58,9 +56,7 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.unknown = sp.unk_id()
         self.longest = max(map(len, self.rank))
-        #: How ids are packed, and the value that stands for a word to be looked up.
-        self.code = "H" if n < 65_535 else "I"
-        self.gap = (1 << 8 * array(self.code).itemsize) - 1
+        self.code = "H" if n <= 65_536 else "I"  # how ids are packed
         self.pairs = {x[i : i + 2] for x in self.rank for i in range(len(x) - 1)}
         self._check()
 
@@ -200,8 +196,8 @@ def _edge_table(words: DataFrame, pieces: Pieces, columns: str) -> DataFrame:
     return F.broadcast(lookup.selectExpr("sub", columns))
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) of words(word): distinct, not empty and of at most LONGEST characters.
+def encode_words(words: DataFrame, pieces: Pieces, *more: str) -> DataFrame:
+    """(word, ids, more) of words(word, more): distinct, not empty and of at most LONGEST characters.
 
     The chain keeps the rows of a word where the grouping of `words` by word has put them, so it shuffles nothing.
     """
@@ -209,15 +205,15 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         raise ValueError("byte pieces are not in order")
     lookup = _edge_table(words, pieces, f"shiftleft(place, {ORDER_AT}) | id as code")
     n = F.char_length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + pieces.longest))).alias("e"))
+    starts = words.select("word", *more, F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = starts.select("word", *more, "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + pieces.longest))).alias("e"))
     s, e = F.col("s").cast("long"), F.col("e").cast("long")
     subs = spans.select(
-        "word", F.expr("substring(word, s + 1, e - s)").alias("sub"), ((F.col("s") == 0) & (F.col("e") == 1)).alias("head"),
+        "word", *more, F.expr("substring(word, s + 1, e - s)").alias("sub"), ((F.col("s") == 0) & (F.col("e") == 1)).alias("head"),
         (_shift("shiftleft", F.lit(PLACE) - s, START_AT) + _shift("shiftleft", e, END_AT)).alias("span"),
     )
     edges = subs.join(lookup, "sub", "left").where("code is not null or head")  # one row a word stays whatever matches
-    grouped = edges.groupBy("word").agg(F.collect_list(F.col("code") + F.col("span")).alias("edges"))
+    grouped = edges.groupBy("word", *more).agg(F.collect_list(F.col("code") + F.col("span")).alias("edges"))
 
     def mask(x: Column) -> Column:
         a, b = _bit(_start(x)), _bit(_end(x))
@@ -226,9 +222,9 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
             x.bitwiseAND(F.lit(ID)).cast("int").alias("id"),
         )
 
-    masked = grouped.select("word", F.transform(F.sort_array("edges"), mask).alias("masks"))
-    folded = masked.select("word", "masks", fold_edges(F.col("masks"), F.col("word")).alias("bounds"))
-    return folded.select("word", chosen_ids(F.col("masks"), F.col("bounds"), F.col("word"), pieces).alias("ids"))
+    masked = grouped.select("word", *more, F.transform(F.sort_array("edges"), mask).alias("masks"))
+    folded = masked.select("word", *more, "masks", fold_edges(F.col("masks"), F.col("word")).alias("bounds"))
+    return folded.select("word", chosen_ids(F.col("masks"), F.col("bounds"), F.col("word"), pieces).alias("ids"), *more)
 
 
 def fold_in_arrays(word: str, edges: list[tuple], pieces: Pieces) -> list[int]:
@@ -262,7 +258,7 @@ def _fold_long(shared):
 
 def encode_long_words(words: DataFrame, pieces: Pieces, shared) -> DataFrame:
     """(word, ids) of words(word), distinct and of any length: chunks that overlap by the longest piece give the edges."""
-    keyed = words.select("word", F.sha2("word", 256).alias("key"))
+    keyed = words.select("word", F.coalesce(F.sha2("word", 256), F.lit("")).alias("key"))
     bases = keyed.select("key", "word", F.explode(F.expr(f"sequence(0, char_length(word) - 1, {CHUNK})")).alias("base"))
     parts = bases.select("key", "base", F.expr(f"substring(word, base + 1, {CHUNK + pieces.longest - 1})").alias("part"))
     n = F.char_length("part")
@@ -283,7 +279,9 @@ def _judged(shared):
             words, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = [decode_ids(x, pieces.names, pieces.byte_of) == w for w, x in zip(words, ids)]
             packed = [array(pieces.code, x).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(good, pa.bool_())], ["word", "ids", "good"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(packed, pa.binary()), pa.array(good, pa.bool_()), *batch.columns[2:]], ["word", "ids", "good", *batch.schema.names[2:]]
+            )
 
     return run
 
@@ -300,74 +298,101 @@ def _frequent(shared):
     return run
 
 
+def _coded(pieces: Pieces, head: dict[str, int], text: str | None) -> tuple[list[str], list[int], dict[str, int]]:
+    """The words of a text, their codes (a number in the head, or len(head) and more), and the codes of those to look up."""
+    words = pieces.words(text)
+    codes, asked = list(map(head.get, words)), {}
+    i = -1
+    for _ in range(codes.count(None)):
+        i = codes.index(None, i + 1)
+        codes[i] = asked.setdefault(words[i], len(head) + len(asked))
+    return words, codes, asked
+
+
+def _asked(shared, known):
+    """(uid, k, word): the words of each row that are not in the head, each once."""
+
+    def run(batches):
+        pieces, head = shared.value, known.value[0]
+        for batch in batches:
+            for s in range(0, batch.num_rows, 512):
+                uid, ks, words = [], [], []
+                for u, text in zip(batch.column(0)[s : s + 512].to_pylist(), batch.column(1)[s : s + 512].to_pylist()):
+                    asked = _coded(pieces, head, text)[2]
+                    uid += [u] * len(asked)
+                    words += asked
+                    ks += asked.values()
+                yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(ks, pa.int32()), pa.array(words, pa.string())], ["uid", "k", "word"])
+
+    return run
+
+
 def _templates(shared, known):
-    """Each row's ids as far as the head has them, and its words that are still to be looked up."""
+    """Each row's words as codes, packed."""
 
     def run(batches):
         pieces: Pieces = shared.value
-        head, bad = known.value
-        gap = array(pieces.code, [pieces.gap]).tobytes()
-        pack = zstandard.ZstdCompressor(level=1).compress
+        head, bad = known.value[0], known.value[3]
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
-                bodies, rare, long_, same = [], [], [], []
-                for text in part.column(0).to_pylist():
-                    words = pieces.words(text)
-                    ids = list(map(head.get, words))
-                    mine, wide, asked, i = {}, {}, array("i"), -1
-                    for _ in range(ids.count(None)):
-                        i = ids.index(None, i + 1)
-                        w = words[i]
-                        asked.append(mine.setdefault(w, len(mine)) if len(w) <= LONGEST else -1 - wide.setdefault(w, len(wide)))
-                        ids[i] = gap
-                    bodies.append(pack(struct.pack("<i", len(asked)) + asked.tobytes() + b"".join(ids)))
-                    rare.append(list(mine)), long_.append(list(wide))
+                bodies, same = [], []
+                for text in part.column(1).to_pylist():
+                    words, codes, _ = _coded(pieces, head, text)
+                    planes = np.array(codes, dtype="<u4").view(np.uint8).reshape(-1, 4).T  # bytes of one weight pack well
+                    bodies.append(pack(planes.tobytes()))
                     same.append(None if text is None else "▁" not in text and (not bad or bad.isdisjoint(words)))
-                strings = pa.list_(pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array(bodies, pa.binary()), pa.array(rare, strings), pa.array(long_, strings), pa.array(same, pa.bool_())],
-                    [*part.schema.names[1:], "body", "rare", "long", "same"],
+                    [part.column(0), *part.columns[2:], pa.array(bodies, pa.binary()), pa.array(same, pa.bool_())],
+                    [part.schema.names[0], *part.schema.names[2:], "body", "same"],
                 )
 
     return run
 
 
-def _filled(shared):
+def _filled(shared, known):
+    """Rows (body, same, got, doc_id, ...) with the ids of their codes: those of the head, and those in got."""
+
     def run(batches):
-        pieces: Pieces = shared.value
-        kind = np.dtype(f"u{array(pieces.code).itemsize}")
+        kind = np.dtype(f"u{array(shared.value.code).itemsize}")
+        head, flat, ends, _ = known.value
+        own, begin = np.frombuffer(flat, dtype=kind), np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        size = (ends - begin).astype(np.int64)
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
-                ids, same = [], part.column(1).to_pylist()
-                for k, (body, got) in enumerate(zip(part.column(0), part.column(2))):
-                    raw = unpack(body.as_py())
-                    n = struct.unpack_from("<i", raw)[0]
-                    own = np.frombuffer(raw, dtype=kind, offset=4 + 4 * n)
-                    if n:
-                        rows = got.values if got.is_valid else None
-                        at = dict(zip(rows.field(0).to_pylist(), rows.field(1).to_pylist())) if rows is not None else {}
-                        words = [at[x] for x in np.frombuffer(raw, dtype=np.int32, count=n, offset=4).tolist()]  # a lost word raises
-                        more = np.array([len(w) // kind.itemsize for w in words])
-                        gaps = np.flatnonzero(own == pieces.gap)
-                        sizes = np.ones(len(own), dtype=np.int64)
-                        sizes[gaps] = more
-                        start = np.cumsum(sizes) - sizes
-                        out = np.empty(int(sizes.sum()), dtype=np.int32)
-                        out[start[own != pieces.gap]] = own[own != pieces.gap]
-                        inner = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
-                        out[np.repeat(start[gaps], more) + inner] = np.frombuffer(b"".join(words), dtype=kind)
-                        same[k] = same[k] and all(rows.field(2).to_pylist())
-                    else:
-                        out = own.astype(np.int32)
-                    ids.append(out)
-                sizes = np.array([len(x) for x in ids], dtype=np.int64)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+                raw = [np.frombuffer(unpack(x.as_py()), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for x in part.column(0)]
+                words = np.array([len(x) for x in raw])
+                code, row = np.concatenate(raw).astype(np.int64), np.repeat(np.arange(len(raw)), words)
+                got = part.column(2)
+                lists = pa.array(got.to_pylist(), got.type) if got.offset else got
+                found = lists.flatten()
+                counts = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, dtype=np.int64)
+                owner = np.repeat(np.arange(len(raw)), counts)
+                asked = np.array([max(0, int(x.max()) + 1 - len(head)) if len(x) else 0 for x in raw])
+                if not np.array_equal(asked, counts):
+                    raise ValueError("words of a row were lost, or docs gave other rows when read again")
+                packed = found.field(1).to_pylist()
+                more = np.array([len(x) // kind.itemsize for x in packed], dtype=np.int64)
+                place = (owner << 32) + found.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                order = np.argsort(place)
+                source = np.concatenate([own, np.frombuffer(b"".join(packed), dtype=kind)]).astype(np.int32)
+                first = len(own) + np.cumsum(more) - more
+                known_ = code < len(head)
+                start, n = np.empty(len(code), dtype=np.int64), np.empty(len(code), dtype=np.int64)
+                start[known_], n[known_] = begin[code[known_]], size[code[known_]]
+                at = order[np.searchsorted(place[order], (row[~known_] << 32) + code[~known_])]
+                start[~known_], n[~known_] = first[at], more[at]
+                ids = source[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                pieces_of = np.bincount(row, weights=n, minlength=len(raw)).astype(np.int64)
+                broken = np.zeros(len(raw), dtype=bool)
+                broken[owner[~found.field(2).to_numpy(zero_copy_only=False).astype(bool)]] = True
+                same = [x and not b for x, b in zip(part.column(1).to_pylist(), broken.tolist())]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(pieces_of)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(3), lists, pa.array(sizes), pa.array(same, pa.bool_()), *part.columns[4:]],
+                    [part.column(3), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(pieces_of), pa.array(same, pa.bool_()), *part.columns[4:]],
                     ["doc_id", "ids", "n_pieces", "round_trip", *part.schema.names[4:]],
                 )
 
@@ -382,9 +407,10 @@ def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), head: int =
     Repeated rows stay, each with its ids; a null doc_id stays null. Very long texts and words take the same path as any.
     An empty table gives an empty result. Columns of docs that are not named in carry play no part, whatever their names.
 
-    Texts are read once: what the head of frequent words leaves open is written with the row, packed, and its words are
-    encoded once for all documents that hold them. Words outside the head have a bounded share of all words each, so
-    neither the join by word nor a document's own list is a group that grows with the table.
+    Words outside the head are encoded once for all documents that hold them and sent to where the rows' packed codes go.
+    Each of them has a bounded share of all words, so neither the join by word nor a document's own list is a group that
+    grows with the table. docs is read twice and should be a scan of files, whose partitions are the same each time; a
+    row whose words don't come back whole raises an error.
     """
     spark = docs.sparkSession
     pieces = Pieces(path)
@@ -394,25 +420,32 @@ def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), head: int =
     texts = docs.select("doc_id", "text")
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, HEAD_DOCS / max(texts.count(), 1)) * (1 << 30))
     counted = texts.where(share).select("text").mapInArrow(_frequent(shared), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = counted.orderBy(F.desc("n"), "word").limit(head).select("word").repartition(8, "word")
-    got = encode_words(frequent, pieces).mapInArrow(_judged(shared), judged).toArrow()  # `head` rows at most
-    names = got["word"].to_pylist()
+    frequent = counted.orderBy(F.desc("n"), "word").limit(head).repartition(8, "word")
+    got = encode_words(frequent, pieces, "n").mapInArrow(_judged(shared), judged + ", n long").toArrow()  # `head` rows at most
+    got = got.sort_by([("n", "descending"), ("word", "ascending")])  # frequent words get small codes
+    names, packed = got["word"].to_pylist(), got["ids"].to_pylist()
     bad = frozenset(w for w, good in zip(names, got["good"].to_pylist()) if not good)
-    known = spark.sparkContext.broadcast((dict(zip(names, got["ids"].to_pylist())), bad))
+    ends = np.cumsum([len(x) for x in packed], dtype=np.int64) // array(pieces.code).itemsize
+    known = spark.sparkContext.broadcast((dict(zip(names, range(len(names)))), b"".join(packed), ends, bad))
 
     named = {f"carry_{k}": c for k, c in enumerate(carry)}
-    rows = docs.select("text", F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(a) for a, c in named.items()])
-    more = StructType.fromDDL("body binary, rare array<string>, long array<string>, same boolean").fields
-    found = stored(rows.mapInArrow(_templates(shared, known), StructType([*rows.schema.fields[1:], *more])))
-    rare = found.select("uid", F.posexplode("rare").alias("k", "word"))
-    wide = found.select("uid", F.posexplode("long").alias("k", "word")).select("uid", (-1 - F.col("k")).alias("k"), "word")
-    known_rare = encode_words(rare.select("word").distinct(), pieces).mapInArrow(_judged(shared), judged)
-    known_wide = encode_long_words(wide.select("word").distinct(), pieces, shared).mapInArrow(_judged(shared), judged)
-    answers = rare.join(known_rare, "word").unionByName(wide.join(known_wide, "word"))
-    own = answers.groupBy("uid").agg(F.collect_list(F.struct("k", "ids", "good")).alias("got"))
-    paired = found.join(own, "uid", "left").select("body", "same", "got", "doc_id", *named)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "text", F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(a) for a, c in named.items()])
+    kept = [rows.schema["uid"], *rows.schema.fields[2:]]
+    # one exchange serves the grouping and the joins: no filter or pruning may differ below it
+    sent = rows.select("uid", "text").mapInArrow(_asked(shared, known), "uid long, k int, word string")
+    sent = sent.where("word is not null and uid is not null").repartition("word")
+    words = sent.groupBy("word").agg(F.count_if(F.col("uid").isNotNull() & F.col("k").isNotNull()).alias("n"))
+    long_by = F.char_length("word") - LONGEST
+    short, wide = words.where(F.col("n") * (1 - long_by) > 0), words.where(F.col("n") * long_by > 0)
+    answers = [
+        sent.join(found.mapInArrow(_judged(shared), judged), "word").select("uid", "k", "ids", "good")
+        for found in (encode_words(short, pieces), encode_long_words(wide, pieces, shared))
+    ]
+    own = answers[0].unionByName(answers[1]).groupBy("uid").agg(F.collect_list(F.struct("k", "ids", "good")).alias("got"))
+    templates = rows.mapInArrow(_templates(shared, known), StructType([*kept, *StructType.fromDDL("body binary, same boolean").fields]))
+    paired = templates.join(own, "uid", "left").select("body", "same", F.coalesce("got", F.expr("array()")).alias("got"), "doc_id", *named)
     fields = StructType.fromDDL("doc_id long, ids array<int>, n_pieces long, round_trip boolean").fields
-    out = paired.mapInArrow(_filled(shared), StructType([*fields, *[StructField(a, rows.schema[a].dataType) for a in named]]))
+    out = paired.mapInArrow(_filled(shared, known), StructType([*fields, *[StructField(a, rows.schema[a].dataType) for a in named]]))
     return out.select("doc_id", "ids", "n_pieces", "round_trip", *[F.col(a).alias(c) for a, c in named.items()])
 
 
