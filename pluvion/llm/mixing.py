@@ -1,14 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Rows of a source form blocks. Block i of a source of weight w may run from slot floor(i / w) and must run before slot
-ceil((i + 1) / w); earliest deadline first over these windows keeps every source within one block of its share at every
-slot. Weights are whole shares of a period, so the schedule repeats: one bounded period is laid out once and joined to
-the blocks of all rows, which never pass through one place.
+Rows of a source form blocks. Block i of a source whose share of the weights is w may run from slot floor(i / w) and must
+run before slot ceil((i + 1) / w); earliest deadline first over these windows keeps every source within one block of its
+share at every slot. Shares are exact fractions, so nothing adds up over time. The plan has one row a block, and blocks
+grow with the table, so the plan is bounded; rows join their block's slot and never pass through one place.
 """
 
 from __future__ import annotations
 
 import heapq
+from fractions import Fraction
+from math import lcm
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,86 +19,75 @@ from pyspark.sql import functions as F
 from .common import table
 from .sharding import number_slots
 
-#: Slots of the period (more where there are many sources), and sources at most; more are refused, not dropped.
-PERIOD, SOURCES = 10_000, 65_536
-BLOCK_ROWS = 64
+#: Rows of a block at least, and blocks of all sources together, about: larger tables get larger blocks.
+BLOCK_ROWS, BLOCKS = 64, 1 << 18
 
 
-def shares(weights: list[float], period: int) -> list[int]:
-    """Whole slots of the period for each weight, at least 1, by largest remainder; they sum to the period."""
-    total = sum(weights)
-    exact = [w / total * (period - len(weights)) for w in weights]
-    out = [1 + int(x) for x in exact]
-    by_rest = sorted(range(len(weights)), key=lambda i: (int(exact[i]) - exact[i], i))
-    for i in by_rest[: period - sum(out)]:
-        out[i] += 1
-    return out
-
+def pfair(weights: list, blocks: list[int]) -> list[tuple[int, int, int]]:
+    """(source, block, slot) of all blocks: earliest deadline first among the released ones, ties to the lower source.
 
-def pfair_period(slots: list[int]) -> list[tuple[int, int, int]]:
-    """(source, block, slot) of one period: earliest deadline first among the released blocks, ties to the lower source."""
-    period = sum(slots)
-    release: list[list[int]] = [[] for _ in range(period + 1)]
-    for s in range(len(slots)):
-        release[0].append(s)
-    done, ready, out = [0] * len(slots), [], []
-    for t in range(period):
-        for s in release[t]:
-            heapq.heappush(ready, (-(-(done[s] + 1) * period // slots[s]), s))
+    weights are taken as exact fractions of their sum. A source that has run out leaves its slots to blocks that are
+    released by then, else they stay empty; no block leaves its window.
+    """
+    exact = [Fraction(w) for w in weights]
+    common = lcm(*[x.denominator for x in exact]) if exact else 1
+    parts = [int(x * common) for x in exact]
+    if parts and min(parts) <= 0:
+        raise ValueError("weights must be positive")
+    total = sum(parts)
+    waiting = [(0, s) for s in range(len(parts)) if blocks[s] > 0]  # by release
+    heapq.heapify(waiting)
+    done, ready, out, t = [0] * len(parts), [], [], 0
+    while waiting or ready:
         if not ready:
-            raise ArithmeticError("the shares leave a slot without a released block")
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[s] + 1) * total // parts[s]), s))
         deadline, s = heapq.heappop(ready)
         if t >= deadline:
             raise ArithmeticError("a block missed its deadline")
         out.append((s, done[s], t))
         done[s] += 1
-        if done[s] < slots[s]:
-            release[max(t + 1, done[s] * period // slots[s])].append(s)
+        if done[s] < blocks[s]:
+            heapq.heappush(waiting, (max(t + 1, done[s] * total // parts[s]), s))
+        t += 1
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block: int | None = None) -> DataFrame:
     """docs with mix_slot, mix_pos and mix_block; (mix_slot, mix_pos) orders all rows as mixed.
 
-    weights: target weight of each source (null is a source of its own); sources it lacks get none, which is an error.
-    Without weights a source weighs its number of rows to the given power. Rows of a source are dealt to blocks in a
-    hashed order. Every row keeps a place: where a source has run out, its slots stay empty. Columns of docs with the
-    three names are replaced. An empty table gives an empty result.
+    weights: target weight of each source (null is a source of its own); a source it lacks is an error. Without weights a
+    source weighs its number of rows to the given power. Rows of a source are dealt to blocks in a hashed order, of which
+    ties (repeated rows, null ids) take any; the last block of a source may be short. Every row keeps a place. block: rows
+    of a block, by default BLOCK_ROWS or as many as make BLOCKS blocks. Only source is read of a row, so nulls, empty or
+    long texts play no part. Columns of docs with the three names are replaced, all others stay whatever their names. An
+    empty table gives an empty result. The driver holds one row a source and the plan.
     """
     docs = docs.drop("mix_slot", "mix_pos", "mix_block")
-    counts = docs.groupBy("source").agg(F.count("*").alias("n")).orderBy("source").limit(SOURCES + 1).collect()
-    if len(counts) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
+    counts = docs.groupBy("source").agg(F.count("*").alias("n")).orderBy("source").collect()
     if not counts:
         none = F.lit(None).cast("long")
         return docs.select("*", none.alias("mix_slot"), none.alias("mix_pos"), none.alias("mix_block"))
     given = [weights[r["source"]] if weights else r["n"] ** power for r in counts]
-    if min(given) <= 0:
-        raise ValueError("weights must be positive")
-    slots = shares(given, max(period, 10 * len(counts)))
+    block = block or max(BLOCK_ROWS, -(-sum(r["n"] for r in counts) // BLOCKS))
     spark = docs.sparkSession
-    names = spark.createDataFrame(
-        [(i, r["source"], slots[i]) for i, r in enumerate(counts)], "shard int, _source string, _slots long"
-    )
-    plan = spark.createDataFrame(pfair_period(slots), "shard int, _turn long, _at long")
-    spread = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map" not in kind and "variant" not in kind])
-    keyed = docs.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    keyed = keyed.withColumn("_spread", spread)
-    placed = number_slots(keyed, max(r["n"] for r in counts), 1)
-    placed = placed.withColumn("mix_block", F.floor(F.col("slot") / block)).withColumn("_turn", F.col("mix_block") % F.col("_slots"))
-    # the plan has one row a slot of the period, whatever the rows
-    return (
-        placed.join(F.broadcast(plan), ["shard", "_turn"])
-        .withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("_slots")) * sum(slots) + F.col("_at"))
-        .withColumn("mix_pos", F.col("slot") % block)
-        .select(*docs.columns, "mix_slot", "mix_pos", "mix_block")
-    )
+    names = spark.createDataFrame([(i, r["source"]) for i, r in enumerate(counts)], "shard int, source string")
+    plan = spark.createDataFrame(pfair(given, [-(-r["n"] // block) for r in counts]), "shard int, mix_block long, mix_slot long")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("source").alias("own")).join(F.broadcast(names), F.col("own").eqNullSafe(F.col("source")))
+    placed = number_slots(keyed.select("row", "shard"), max(r["n"] for r in counts), 1)
+    placed = placed.withColumn("mix_block", F.floor(F.col("slot") / block))
+    # the plan has about BLOCKS rows at most, and one a source more
+    return placed.join(F.broadcast(plan), ["shard", "mix_block"]).select("row.*", "mix_slot", (F.col("slot") % block).alias("mix_pos"), "mix_block")
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     """The rows and columns of docs, in mixed order within and across partitions."""
-    mixed = mix(docs, **options)
-    return mixed.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot", "mix_pos").select(*docs.columns)
+    keep = [F.col(f"`{c}`") for c in docs.columns]
+    mixed = mix(docs.select(F.struct(*keep).alias("kept"), F.col("source")), **options)
+    return mixed.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot", "mix_pos").select("kept.*")
 
 
 def with_place(mixed: DataFrame, name: str = "mix_place") -> DataFrame:

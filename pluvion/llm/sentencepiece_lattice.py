@@ -36,7 +36,7 @@ from .common import table
 
 #: Characters of a word that the bits of the fold's state can hold, and starts of a chunk of longer words.
 LONGEST, CHUNK = 62, 64
-#: Words in the head at most, and documents of the sample that it comes from, about.
+#: Space-delimited tokens in the head at most, and documents of the sample that it comes from, about.
 HEAD, HEAD_DOCS = 262_144, 20_000
 WORD = regex.compile(r" *\p{L}+| *[^\p{L} ]+| +")
 
@@ -206,7 +206,9 @@ def encode_words(words: DataFrame, pieces: Pieces, *more: str) -> DataFrame:
     lookup = _edge_table(words, pieces, f"shiftleft(place, {ORDER_AT}) | id as code")
     n = F.char_length("word")
     starts = words.select("word", *more, F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select("word", *more, "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + pieces.longest))).alias("e"))
+    # a word of ASCII needs no spans of one character, but the first, which keeps its row
+    least = F.when((F.col("s") > 0) & (F.octet_length("word") == n), F.least(F.col("s") + 2, n)).otherwise(F.col("s") + 1)
+    spans = starts.select("word", *more, "s", F.explode(F.sequence(least, F.least(n, F.col("s") + pieces.longest))).alias("e"))
     s, e = F.col("s").cast("long"), F.col("e").cast("long")
     subs = spans.select(
         "word", *more, F.expr("substring(word, s + 1, e - s)").alias("sub"), ((F.col("s") == 0) & (F.col("e") == 1)).alias("head"),
@@ -286,39 +288,77 @@ def _judged(shared):
     return run
 
 
-def _frequent(shared):
-    def run(batches):
-        pieces, total = shared.value, Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total.update(pieces.words(text))
-        short = {w: n for w, n in total.items() if len(w) <= LONGEST}
-        yield pa.RecordBatch.from_arrays([pa.array(list(short), pa.string()), pa.array(list(short.values()), pa.int64())], ["word", "n"])
-
-    return run
-
-
-def _coded(pieces: Pieces, head: dict[str, int], text: str | None) -> tuple[list[str], list[int], dict[str, int]]:
-    """The words of a text, their codes (a number in the head, or len(head) and more), and the codes of those to look up."""
-    words = pieces.words(text)
-    codes, asked = list(map(head.get, words)), {}
-    i = -1
-    for _ in range(codes.count(None)):
-        i = codes.index(None, i + 1)
-        codes[i] = asked.setdefault(words[i], len(head) + len(asked))
-    return words, codes, asked
-
-
-def _asked(shared, known):
+def _frequent(batches):
+    """(token, n) of the space-delimited tokens of a partition of the sample."""
+    total = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            total.update((text or "").replace("▁", " ").split(" "))
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["token", "n"])
+
+
+class Coder:
+    """Codes of texts: numbers of space-delimited tokens and of words in the head; words to look up follow from `first`."""
+
+    def __init__(self, head: tuple):
+        self.pieces, self.tokens, self.words, self.first = head[:4]
+
+    def _find(self, text: str | None) -> tuple[list, dict, dict, dict]:
+        """(tokens, code by token, codes by token of several, codes of the words to look up)."""
+        asked: dict[str, int] = {}
+        if not text:
+            return [], {}, {}, asked
+        text = text.replace("▁", " ")
+        if "  " in text or text[0] == " ":  # a word takes the whole run of spaces before it
+            return [text], {text: None}, {text: self._each(self.pieces.words(text), asked)}, asked
+        tokens = text.split(" ")
+        distinct = dict.fromkeys(tokens)
+        code = dict(zip(distinct, map(self.tokens.get, distinct)))
+        several = {t: self._each(self._words(t), asked) for t, c in code.items() if c is None}
+        return tokens, code, several, asked
+
+    def _words(self, token: str) -> list[str]:
+        if len(token) < LONGEST and token:
+            if token.isalpha():
+                return [" " + token]
+            if token[:-1].isalpha() and not token[-1].isalpha():
+                return [" " + token[:-1], token[-1]]
+        return self.pieces.words(token) if token else [" "]
+
+    def _each(self, words: list[str], asked: dict[str, int]) -> list[int]:
+        codes = list(map(self.words.get, words))
+        for i, c in enumerate(codes):
+            if c is None:
+                codes[i] = asked.setdefault(words[i], self.first + len(asked))
+        return codes
+
+    def asked(self, text: str | None) -> dict[str, int]:
+        return self._find(text)[3]
+
+    def codes(self, text: str | None) -> list[int]:
+        tokens, code, several, _ = self._find(text)
+        codes = list(map(code.get, tokens))
+        if not several:
+            return codes
+        out, done, i = [], 0, -1
+        for _ in range(codes.count(None)):
+            i = codes.index(None, i + 1)
+            out += codes[done:i]
+            out += several[tokens[i]]
+            done = i + 1
+        return out + codes[done:]
+
+
+def _asked(known):
     """(uid, k, word): the words of each row that are not in the head, each once."""
 
     def run(batches):
-        pieces, head = shared.value, known.value[0]
+        coder = Coder(known.value)
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 uid, ks, words = [], [], []
                 for u, text in zip(batch.column(0)[s : s + 512].to_pylist(), batch.column(1)[s : s + 512].to_pylist()):
-                    asked = _coded(pieces, head, text)[2]
+                    asked = coder.asked(text)
                     uid += [u] * len(asked)
                     words += asked
                     ks += asked.values()
@@ -327,22 +367,21 @@ def _asked(shared, known):
     return run
 
 
-def _templates(shared, known):
-    """Each row's words as codes, packed."""
+def _templates(known):
+    """Each row's codes, packed."""
 
     def run(batches):
-        pieces: Pieces = shared.value
-        head, bad = known.value[0], known.value[3]
+        coder, bad = Coder(known.value), known.value[6]
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
                 bodies, same = [], []
                 for text in part.column(1).to_pylist():
-                    words, codes, _ = _coded(pieces, head, text)
+                    codes = coder.codes(text)
                     planes = np.array(codes, dtype="<u4").view(np.uint8).reshape(-1, 4).T  # bytes of one weight pack well
                     bodies.append(pack(planes.tobytes()))
-                    same.append(None if text is None else "▁" not in text and (not bad or bad.isdisjoint(words)))
+                    same.append(None if text is None else "▁" not in text and (not bad or bad.isdisjoint(codes)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *part.columns[2:], pa.array(bodies, pa.binary()), pa.array(same, pa.bool_())],
                     [part.schema.names[0], *part.schema.names[2:], "body", "same"],
@@ -351,12 +390,12 @@ def _templates(shared, known):
     return run
 
 
-def _filled(shared, known):
+def _filled(known):
     """Rows (body, same, got, doc_id, ...) with the ids of their codes: those of the head, and those in got."""
 
     def run(batches):
-        kind = np.dtype(f"u{array(shared.value.code).itemsize}")
-        head, flat, ends, _ = known.value
+        pieces, _, _, head, flat, ends, _ = known.value
+        kind = np.dtype(f"u{array(pieces.code).itemsize}")
         own, begin = np.frombuffer(flat, dtype=kind), np.concatenate([[0], ends[:-1]]).astype(np.int64)
         size = (ends - begin).astype(np.int64)
         unpack = zstandard.ZstdDecompressor().decompress
@@ -371,7 +410,7 @@ def _filled(shared, known):
                 found = lists.flatten()
                 counts = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, dtype=np.int64)
                 owner = np.repeat(np.arange(len(raw)), counts)
-                asked = np.array([max(0, int(x.max()) + 1 - len(head)) if len(x) else 0 for x in raw])
+                asked = np.array([max(0, int(x.max()) + 1 - head) if len(x) else 0 for x in raw])
                 if not np.array_equal(asked, counts):
                     raise ValueError("words of a row were lost, or docs gave other rows when read again")
                 packed = found.field(1).to_pylist()
@@ -380,7 +419,7 @@ def _filled(shared, known):
                 order = np.argsort(place)
                 source = np.concatenate([own, np.frombuffer(b"".join(packed), dtype=kind)]).astype(np.int32)
                 first = len(own) + np.cumsum(more) - more
-                known_ = code < len(head)
+                known_ = code < head
                 start, n = np.empty(len(code), dtype=np.int64), np.empty(len(code), dtype=np.int64)
                 start[known_], n[known_] = begin[code[known_]], size[code[known_]]
                 at = order[np.searchsorted(place[order], (row[~known_] << 32) + code[~known_])]
@@ -399,6 +438,37 @@ def _filled(shared, known):
     return run
 
 
+def _head(texts: DataFrame, pieces: Pieces, shared, most: int) -> tuple:
+    """(pieces, code by token, code by word, codes, ids one after another, their ends, codes that don't decode back).
+
+    The tokens most frequent in a sample of texts(doc_id, text), at most `most`, and their words, which the lattice encodes.
+    """
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, HEAD_DOCS / max(texts.count(), 1)) * (1 << 30))
+    counted = texts.where(share).select("text").mapInArrow(_frequent, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    frequent = counted.orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()["token"].to_pylist()
+    split = [pieces.words(t) if t and t[0] != " " else [" "] for t in frequent]
+    kept = [(t, ws) for t, ws in zip(frequent, split) if max(map(len, ws)) <= LONGEST]
+    frequent, split = [t for t, _ in kept], [ws for _, ws in kept]
+    words = list(dict.fromkeys(w for ws in split for w in ws))
+    rows = texts.sparkSession.createDataFrame(pa.table({"word": pa.array(words, pa.string())}))
+    got = encode_words(rows.repartition(8, "word"), pieces).mapInArrow(_judged(shared), "word string, ids binary, good boolean").toArrow()
+    ids = dict(zip(got["word"].to_pylist(), zip(got["ids"].to_pylist(), got["good"].to_pylist())))
+    tokens, codes, packed, bad = {}, {}, [], []
+    for t, ws in zip(frequent, split):  # frequent tokens get small codes
+        tokens[t] = len(packed)
+        if len(ws) == 1:
+            codes[ws[0]] = len(packed)
+        packed.append(b"".join(ids[w][0] for w in ws))
+        bad += [] if all(ids[w][1] for w in ws) else [len(packed) - 1]
+    for w in words:
+        if w not in codes:
+            codes[w] = len(packed)
+            packed.append(ids[w][0])
+            bad += [] if ids[w][1] else [len(packed) - 1]
+    ends = np.cumsum([len(x) for x in packed], dtype=np.int64) // array(pieces.code).itemsize
+    return pieces, tokens, codes, len(packed), b"".join(packed), ends, frozenset(bad)
+
+
 def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), head: int = HEAD) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, ids, n_pieces, round_trip, and the columns of docs named in carry.
 
@@ -417,22 +487,13 @@ def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), head: int =
     shared = spark.sparkContext.broadcast(pieces)
     judged = "word string, ids binary, good boolean"
 
-    texts = docs.select("doc_id", "text")
-    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, HEAD_DOCS / max(texts.count(), 1)) * (1 << 30))
-    counted = texts.where(share).select("text").mapInArrow(_frequent(shared), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = counted.orderBy(F.desc("n"), "word").limit(head).repartition(8, "word")
-    got = encode_words(frequent, pieces, "n").mapInArrow(_judged(shared), judged + ", n long").toArrow()  # `head` rows at most
-    got = got.sort_by([("n", "descending"), ("word", "ascending")])  # frequent words get small codes
-    names, packed = got["word"].to_pylist(), got["ids"].to_pylist()
-    bad = frozenset(w for w, good in zip(names, got["good"].to_pylist()) if not good)
-    ends = np.cumsum([len(x) for x in packed], dtype=np.int64) // array(pieces.code).itemsize
-    known = spark.sparkContext.broadcast((dict(zip(names, range(len(names)))), b"".join(packed), ends, bad))
+    known = spark.sparkContext.broadcast(_head(docs.select("doc_id", "text"), pieces, shared, head))
 
     named = {f"carry_{k}": c for k, c in enumerate(carry)}
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "text", F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(a) for a, c in named.items()])
     kept = [rows.schema["uid"], *rows.schema.fields[2:]]
     # one exchange serves the grouping and the joins: no filter or pruning may differ below it
-    sent = rows.select("uid", "text").mapInArrow(_asked(shared, known), "uid long, k int, word string")
+    sent = rows.select("uid", "text").mapInArrow(_asked(known), "uid long, k int, word string")
     sent = sent.where("word is not null and uid is not null").repartition("word")
     words = sent.groupBy("word").agg(F.count_if(F.col("uid").isNotNull() & F.col("k").isNotNull()).alias("n"))
     long_by = F.char_length("word") - LONGEST
@@ -442,10 +503,10 @@ def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), head: int =
         for found in (encode_words(short, pieces), encode_long_words(wide, pieces, shared))
     ]
     own = answers[0].unionByName(answers[1]).groupBy("uid").agg(F.collect_list(F.struct("k", "ids", "good")).alias("got"))
-    templates = rows.mapInArrow(_templates(shared, known), StructType([*kept, *StructType.fromDDL("body binary, same boolean").fields]))
+    templates = rows.mapInArrow(_templates(known), StructType([*kept, *StructType.fromDDL("body binary, same boolean").fields]))
     paired = templates.join(own, "uid", "left").select("body", "same", F.coalesce("got", F.expr("array()")).alias("got"), "doc_id", *named)
     fields = StructType.fromDDL("doc_id long, ids array<int>, n_pieces long, round_trip boolean").fields
-    out = paired.mapInArrow(_filled(shared, known), StructType([*fields, *[StructField(a, rows.schema[a].dataType) for a in named]]))
+    out = paired.mapInArrow(_filled(known), StructType([*fields, *[StructField(a, rows.schema[a].dataType) for a in named]]))
     return out.select("doc_id", "ids", "n_pieces", "round_trip", *[F.col(a).alias(c) for a, c in named.items()])
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import stored
 from .common import table
 
 #: Fixed values of the published jump consistent hash: the generator's multiplier, and 2^64.
@@ -45,36 +46,39 @@ def jump_walk(key: Column, shards: int) -> Column:
 def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
     """docs with shard (0 to shards-1), slot (gapless from 0 in each shard) and grown_shard (with one more shard).
 
-    Columns of docs named shard, slot or grown_shard are replaced. Null keys count as 0. Rows are numbered in hashed
-    slices of each shard, whose counts give each slice its first slot, so no task holds a whole shard; equal keys lie in
-    one slice in an order that does not matter, as nothing but the order tells such rows apart. An empty table gives an
-    empty result.
+    Columns of docs named shard, slot or grown_shard are replaced, all others stay whatever their names. Null keys count
+    as 0. Only the key is read of a row, so nulls, empty or long texts play no part. Rows are numbered in hashed slices of
+    each shard, whose counts give each slice its first slot, so no task holds a whole shard, even if its rows are all
+    alike. Rows that repeat, and ties, take slots in any order. An empty table gives an empty result.
     """
     docs = docs.drop("shard", "slot", "grown_shard")
-    walk = jump_walk(F.col(key).cast("long"), shards + 1)
-    # of equal keys (a key may repeat for many rows) the other columns spread the rows over slices
-    spread = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map" not in kind and "variant" not in kind])
-    keyed = docs.select("*", walk.alias("_walk"), spread.alias("_spread"))
+    walk = jump_walk(F.col(f"`{key}`").cast("long"), shards + 1)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), walk.alias("walk"))
     keyed = keyed.select(
-        *docs.columns, "_spread",
-        F.when(F.col("_walk.b") == shards, F.col("_walk.before")).otherwise(F.col("_walk.b")).cast("int").alias("shard"),
-        F.col("_walk.b").cast("int").alias("grown_shard"),
+        "row",
+        F.when(F.col("walk.b") == shards, F.col("walk.before")).otherwise(F.col("walk.b")).cast("int").alias("shard"),
+        F.col("walk.b").cast("int").alias("grown_shard"),
     )
-    return number_slots(keyed, docs.count(), shards).drop("_spread", "_slice")
+    return number_slots(keyed, docs.count(), shards).select("row.*", "shard", "slot", "grown_shard")
 
 
 def number_slots(keyed: DataFrame, rows: int, shards: int) -> DataFrame:
-    """keyed(shard, _spread, ...) with slot."""
+    """keyed(row, shard, ...) with slot.
+
+    The slice comes from the row's place in the input, so rows that are all alike spread as well; it is written with the
+    row, so that the counts and the numbers agree when a task runs again.
+    """
     slices = max(SLICES, -(-rows // (shards * SLICE_ROWS)))
-    keyed = keyed.withColumn("_slice", F.pmod("_spread", F.lit(slices)).cast("int"))
-    sizes = keyed.groupBy("shard", "_slice").agg(F.count("*").alias("_n"))
-    first = sizes.withColumn("_first", F.sum("_n").over(Window.partitionBy("shard").orderBy("_slice")) - F.col("_n"))
-    place = F.row_number().over(Window.partitionBy("shard", "_slice").orderBy("_spread"))
+    spread = F.xxhash64(F.monotonically_increasing_id())
+    keyed = stored(keyed.withColumn("slice", F.pmod(spread, F.lit(slices)).cast("int")).withColumn("spread", spread))
+    sizes = keyed.groupBy("shard", "slice").agg(F.count("*").alias("n"))
+    first = sizes.select("shard", "slice", (F.sum("n").over(Window.partitionBy("shard").orderBy("slice")) - F.col("n")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("spread"))
     return (
-        keyed.withColumn("_place", place)
-        .join(first.drop("_n"), ["shard", "_slice"])
-        .withColumn("slot", F.col("_first") + F.col("_place") - 1)
-        .drop("_first", "_place")
+        keyed.withColumn("place", place)
+        .join(first, ["shard", "slice"])
+        .withColumn("slot", F.col("first") + F.col("place") - 1)
+        .drop("first", "place", "slice", "spread")
     )
 
 
