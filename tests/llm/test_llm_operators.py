@@ -199,6 +199,24 @@ def test_nearest_of_few_and_none(spark):
     assert ann.nearest(vectors(spark, []), "vec_id", "embedding", vectors(spark, []), 10).count() == 0
 
 
+def test_nearest_of_repeated_rows_and_huge_components(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + [rows[100]], "vec_id long, embedding array<double>, label int")
+    got = ann.nearest(df, "vec_id", "embedding", df.where("vec_id % 100 = 0"), 10).toPandas()
+    mine = got[got.query_id == 100].sort_values(["rank", "vec_id"])
+    assert len(mine) == 20 and list(mine.vec_id[:2]) == [100, 100] and (mine.score[:2] == 0).all()
+    d = np.sqrt(((x - x[100]) ** 2).sum(1))
+    assert len(set(mine.vec_id) & set(np.argsort(d)[:10])) >= 9
+    huge = spark.createDataFrame([(i, (1e200 * v).tolist(), 0) for i, v in enumerate(x)] + [(1000, [1.0, 2.0], 0), (1001, [1.0, 3.0], 0)], df.schema)
+    got = ann.nearest(huge, "vec_id", "embedding", huge.where("vec_id % 100 = 0"), 10).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {0: 10, 100: 10, 200: 10, 300: 10, 1000: 1}
+    assert np.isfinite(got.score).all() and got[got.query_id == 1000].score.iloc[0] == 1.0
+    want = np.sqrt(((x - x[200]) ** 2).sum(1)) * 1e200
+    assert all(abs(s / want[i] - 1) < 1e-12 for i, s in zip(got[got.query_id == 200].vec_id, got[got.query_id == 200].score))
+
+
 # language
 
 
@@ -441,3 +459,27 @@ def test_extraction_of_the_given_pages(spark):
         body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", x))).strip() for x in re.split(r"</?(?:p|h1)>", body)]
         assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
+
+
+def test_extraction_of_odd_pages(spark):
+    body = "Running text of the article, with commas, long enough to count as such, really."
+    names = "<article><div class='entry-header'><h1>Title</h1></div><p class='share-price'>The share price rose, a little, on that day.</p><p>{}</p><div class='ad'>Buy</div><div id='comments'><p>{}</p></div></article>".format(body, body[8:])
+    layout = "<div class='sidebar'><nav>Menu</nav><div class='text'><p>{0}</p><p>{0}</p></div></div>".format(body)
+    raw = "İ" * 40 + "<script>var x = 'İ</p>';</script><p>" + body + "</p>"
+    deep = "<div>" * 50_000 + "<p>" + body + "</p>"
+    spans = "<b>" * 50_000 + body
+    pages = [names, layout, raw, deep, spans, "<style>never closed <p>x</p>", "</p></div>" * 20_000 + body]
+    df = spark.createDataFrame([(i, f"http://h{i}.example/", t) for i, t in enumerate(pages)], "page_id long, url string, html string")
+    clash = df.withColumns({c: F.lit(9) for c in ("paths", "host", "row", "page", "_html", "Text")})
+    out = {r.page_id: r for r in html_text.extract_text(clash).collect()}
+    assert out[0].text == "Title\nThe share price rose, a little, on that day.\n" + body and out[0].paths == out[0].host == out[0].row == 9
+    assert out[1].text == body + "\n" + body and out[2].text == "İ" * 40 + "\n" + body
+    assert out[3].text == out[4].text == out[6].text == body and out[5].text == ""
+
+
+def test_a_teaser_at_the_hosts_path_is_not_the_article(spark):
+    usual = "<div class='story'><p>{0}</p><p>{0}</p></div>".format("Usual text of a usual page, long enough, with commas. ")
+    rare = "<div class='story'><p>A teaser, short, of it all.</p></div><div class='long'>" + "<p>Long read, of many words, that goes on, and on, for a while, at this place.</p>" * 20 + "</div>"
+    df = spark.createDataFrame([(i, "http://h.example/", usual if i else rare) for i in range(20)], "page_id long, url string, html string")
+    got = html_text.extract_text(df).where("page_id = 0").first().text
+    assert got.startswith("Long read") and got.count("\n") == 19
