@@ -17,10 +17,8 @@ from pyspark.sql import functions as F
 from .common import table, utf8, with_fields
 
 ORDER = 4
-#: Training documents a language, about (a hashed share of its labelled rows), and the largest text used, in bytes.
-TRAIN_DOCS, TRAIN_BYTES = 400, 65_536
-#: Learned languages at most: those with most labelled rows.
-LANGUAGES = 256
+#: Bytes of training text a language, about (a hashed share of its distinct texts), and of all languages together.
+TRAIN_BYTES, ALL_BYTES = 1_400_000, 12_000_000
 
 
 def _grams(text: np.ndarray, order: int) -> np.ndarray:
@@ -164,29 +162,31 @@ def _score(shared, step: int = 1 << 20):
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([model.langs[k] for k in best], pa.string()), pa.array(1 / gap),
                  pa.array(bits[np.arange(len(best)), best] / size)],
-                [*batch.schema.names, "_lang", "_score", "_bits"],
+                [*batch.schema.names, "lang", "score", "bits"],
             )
 
     return run
 
 
-def train(labelled: DataFrame, order: int = ORDER, docs_per_lang: int = TRAIN_DOCS) -> Model | None:
+def train(labelled: DataFrame, order: int = ORDER, train_bytes: int = TRAIN_BYTES) -> Model | None:
     """A model from labelled(text, lang), or None without a usable row.
 
-    About docs_per_lang documents of each language of at most TRAIN_BYTES bytes are used, chosen by a hash of the text,
-    so the statistics that reach the driver are bounded whatever the table's size.
+    Of the distinct texts of each language about train_bytes are used (less where ALL_BYTES would not suffice for all
+    languages), chosen by a hash of the text, one at least; so the statistics that reach the driver are bounded whatever
+    the table's size, every language is learned, and copies count once. Null or empty texts and null languages are left
+    out; ties of the hash are all used. The model takes four bytes for each context seen and language.
     """
-    usable = labelled.where("text is not null and lang is not null and octet_length(text) between 1 and " + str(TRAIN_BYTES))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    rates = {r["lang"]: min(1.0, docs_per_lang / r["count"]) for r in sizes.collect()}
-    if not rates:
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    usable = labelled.where("text <> '' and lang is not null").select("lang", "text", draw.alias("draw"))
+    distinct = usable.groupBy("lang", F.xxhash64("text", F.lit(1)).alias("key")).agg(F.max(F.octet_length("text")).alias("n"), F.min("draw").alias("draw"))
+    sizes = distinct.groupBy("lang").agg(F.sum("n").alias("n"), F.min("draw").alias("least")).collect()  # a row a language
+    if not sizes:
         return None
-    rate = F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])[F.col("lang")]
-    chosen = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < rate * (1 << 30)).select("lang", "text")
+    each = min(train_bytes, ALL_BYTES // len(sizes))
+    most = usable.sparkSession.createDataFrame([(r.lang, max(int(min(1.0, each / r.n) * (1 << 30)), r.least)) for r in sizes], "lang string, most long")
+    chosen = usable.join(F.broadcast(most), "lang").where("draw <= most").select("lang", "text").dropDuplicates()
     counts = chosen.mapInArrow(_count(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = counts.toArrow()
-    if not got.num_rows:
-        return None
     langs = sorted(set(got["lang"].to_pylist()))
     at = np.searchsorted(np.array(langs), np.array(got["lang"].to_pylist()))
     return Model(langs, at, got["gram"].to_numpy(), got["n"].to_numpy(), order)
@@ -196,20 +196,22 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score (the winner's share of 2^-bits, 0 to 1) and bits_per_byte.
 
     lang_pred is `und` (score 0, bits null) where the text is null or has no letter, and everywhere if nothing was
-    learned. Columns of docs with these names are replaced; all others stay.
+    learned. Ties go to the language first in order. A very long text is scored in pieces, whole. Columns of docs with
+    these names are replaced, all others stay whatever their names. Rows repeat as they do in docs; an empty table gives an
+    empty result.
     """
-    docs = docs.drop("lang_pred", "score", "bits_per_byte", "_lang", "_score", "_bits")
+    docs = docs.drop("lang_pred", "score", "bits_per_byte")
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    first = docs.select("text", *[c for c in docs.columns if c != "text"])
-    scored = first.mapInArrow(_score(shared), with_fields(first, "_lang string, _score double, _bits double"))
+    first = docs.select("text", letters.alias("letters"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    scored = first.mapInArrow(_score(shared), with_fields(first, "lang string, score double, bits double"))
     return scored.select(
-        *docs.columns,
-        F.when(letters, F.col("_lang")).otherwise("und").alias("lang_pred"),
-        F.when(letters, F.col("_score")).otherwise(0.0).alias("score"),
-        F.when(letters, F.col("_bits")).alias("bits_per_byte"),
+        "row.*",
+        F.when(F.col("letters"), F.col("lang")).otherwise("und").alias("lang_pred"),
+        F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"),
+        F.when(F.col("letters"), F.col("bits")).alias("bits_per_byte"),
     )
 
 

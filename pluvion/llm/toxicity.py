@@ -6,6 +6,7 @@ severity, the sum over k of P(grade > k). Features are log(1 + count) of lower-c
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -17,102 +18,120 @@ from pyspark.sql import functions as F
 
 from .common import table, with_fields
 
-#: Labelled documents that the model is fitted on at most, about (a hashed share); texts above TRAIN_BYTES aren't used.
-TRAIN_DOCS, TRAIN_BYTES = 12_000, 65_536
-#: A feature is used if this many sample documents have it; the most frequent ones at most.
-MIN_DOCS, FEATURES = 8, 1 << 17
+#: Labelled documents that the model is fitted on at most, about (a hashed share).
+TRAIN_DOCS = 12_000
+#: A feature is used if this many sample documents have it.
+MIN_DOCS = 8
 PREFIXES = (5, 7)
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}\p{N}]*")
 
 
-class Words:
-    """Features of the distinct words of texts, remembered for words seen before."""
-
-    def __init__(self, index: dict[str, int] | None = None, keep: int = 1 << 19):
-        self.index, self.keep, self.memo = index, keep, {}
-
-    def of(self, word: str) -> tuple:
-        f = self.memo.get(word)
-        if f is None:
-            names = ["=" + word, *("^" + word[:k] for k in PREFIXES if len(word) > k)]
-            f = tuple(names) if self.index is None else tuple(self.index[x] for x in names if x in self.index)
-            if len(self.memo) >= self.keep:
-                self.memo.clear()
-            self.memo[word] = f
-        return f
-
-    def counts(self, text: str) -> dict:
-        out: dict = {}
-        for word, n in Counter(WORD.findall(text.lower())).items():
-            for f in self.of(word):
-                out[f] = out.get(f, 0) + n
-        return out
+def names_of(word: str) -> list[str]:
+    """The features of a word: itself and its prefixes."""
+    return ["=" + word, *("^" + word[:k] for k in PREFIXES if len(word) > k)]
 
 
 def _document_features(batches):
-    words = Words()
     for batch in batches:
         names, counts = [], []
         for text in batch.column(1).to_pylist():
-            got = words.counts(text or "")
+            got: dict = {}
+            for word, n in Counter(WORD.findall((text or "").lower())).items():
+                for f in names_of(word):
+                    got[f] = got.get(f, 0) + n
             names.append(list(got)), counts.append(list(got.values()))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["grade", "names", "counts"]
         )
 
 
+class Features:
+    """The model's features of words, as flat arrays; words seen before are remembered, KEEP of them at most."""
+
+    KEEP = 1 << 18
+
+    def __init__(self, index: dict[str, int]):
+        self.index, self.at = index, {}
+        self.flat, self.ends = array("i"), array("i", [0])
+
+    def of(self, words: list[str]) -> list[int]:
+        got = list(map(self.at.get, words))
+        if None in got:
+            for i, k in enumerate(got):
+                if k is None:
+                    self.flat.extend(self.index[x] for x in names_of(words[i]) if x in self.index)
+                    self.ends.append(len(self.flat))
+                    got[i] = self.at[words[i]] = len(self.ends) - 2
+        return got
+
+    def forget(self) -> None:
+        if len(self.at) > self.KEEP:
+            self.__init__(self.index)
+
+
 class OrdinalModel:
     def __init__(self, index: dict[str, int], weights: np.ndarray, cuts: np.ndarray):
         self.index, self.weights, self.cuts = index, weights, cuts
 
-    def score(self, counts: dict) -> float:
-        return float(sum(self.weights[f] * np.log1p(n) for f, n in counts.items()))
+    def scores(self, texts: list[str | None], features: Features) -> np.ndarray:
+        """The sum over features of weight x log(1 + count), of each text."""
+        words, counts, sizes = [], [], []
+        for text in texts:
+            found = Counter(WORD.findall(text.lower())) if text else {}
+            words += found
+            counts += found.values()
+            sizes.append(len(found))
+        ends = features.of(words)
+        flat, end = np.frombuffer(features.flat, dtype=np.intc), np.frombuffer(features.ends, dtype=np.intc)
+        at = np.array(ends, dtype=np.int64)
+        n = (end[at + 1] - end[at]).astype(np.int64)
+        start = np.repeat(end[at].astype(np.int64) - (np.cumsum(n) - n), n)
+        feature = flat[start + np.arange(n.sum())].astype(np.int64)
+        row = np.repeat(np.repeat(np.arange(len(texts)), sizes), n)
+        pair, where = np.unique(row * len(self.weights) + feature, return_inverse=True)  # words share prefixes
+        total = np.bincount(where, weights=np.repeat(np.array(counts, dtype=np.float64), n), minlength=len(pair))
+        return np.bincount(pair // len(self.weights), weights=self.weights[pair % len(self.weights)] * np.log1p(total), minlength=len(texts))
 
     def probabilities(self, score: np.ndarray) -> np.ndarray:
         """[rows, thresholds]: P(grade > k)."""
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -50, 50)))
 
 
+def cuts_of(raw: np.ndarray) -> np.ndarray:
+    """Ordered thresholds: the first, and positive steps from there."""
+    return raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
+
+
+def loss_and_gradient(w: np.ndarray, raw: np.ndarray, rows, cols, values, grades: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """The negative log likelihood with a ridge on w, and its gradient by (w, raw)."""
+    n, levels, cuts = len(grades), len(raw) + 1, cuts_of(raw)
+    s = np.bincount(rows, weights=values * w[cols], minlength=n)
+    edge = np.concatenate([[-np.inf], cuts, [np.inf]])
+    hi, lo = edge[grades + 1] - s, edge[grades] - s
+    p_hi, p_lo = 1 / (1 + np.exp(-np.clip(hi, -50, 50))), 1 / (1 + np.exp(-np.clip(lo, -50, 50)))
+    p = np.maximum(p_hi - p_lo, 1e-12)
+    d_hi, d_lo = p_hi * (1 - p_hi) / p, p_lo * (1 - p_lo) / p
+    by_w = np.bincount(cols, weights=values * (d_hi - d_lo)[rows], minlength=len(w)) + l2 * w
+    by_cut = np.array([-(d_hi[grades == k].sum()) + d_lo[grades == k + 1].sum() for k in range(levels - 1)])
+    tail = np.cumsum(by_cut[::-1])[::-1]
+    return float(-np.log(p).sum() + l2 / 2 * (w**2).sum()), np.concatenate([by_w, tail[:1], tail[1:] * np.exp(raw[1:])])
+
+
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int, l2: float = 2.0, steps: int = 120):
     """(weights, cuts) that minimise the cumulative-link loss with a ridge, by Adam on the whole sample."""
     n, levels = len(grades), int(grades.max()) + 1
     w = np.zeros(width)
     share = np.array([(grades <= k).mean() for k in range(levels - 1)])
     start = np.log(np.clip(share, 1e-4, 1 - 1e-4) / np.clip(1 - share, 1e-4, 1))
-    raw = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])  # cuts stay ordered
+    raw = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     moments = [np.zeros(width + levels - 1), np.zeros(width + levels - 1)]
     for t in range(1, steps + 1):
-        cuts = raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
-        s = np.bincount(rows, weights=values * w[cols], minlength=n)
-        edge = np.concatenate([[-np.inf], cuts, [np.inf]])
-        hi, lo = edge[grades + 1] - s, edge[grades] - s
-        p_hi, p_lo = 1 / (1 + np.exp(-np.clip(hi, -50, 50))), 1 / (1 + np.exp(-np.clip(lo, -50, 50)))
-        p = np.maximum(p_hi - p_lo, 1e-12)
-        d_hi, d_lo = p_hi * (1 - p_hi) / p, p_lo * (1 - p_lo) / p
-        g_s = d_hi - d_lo
-        grad_w = np.bincount(cols, weights=values * g_s[rows], minlength=width) + l2 * w
-        g_cut = np.array([-(d_hi[grades == k].sum()) + d_lo[grades == k + 1].sum() for k in range(levels - 1)])
-        tail = np.cumsum(g_cut[::-1])[::-1]
-        grad = np.concatenate([grad_w, tail[:1], tail[1:] * np.exp(raw[1:])]) / n
+        grad = loss_and_gradient(w, raw, rows, cols, values, grades, l2)[1] / n
         moments[0] = 0.9 * moments[0] + 0.1 * grad
         moments[1] = 0.999 * moments[1] + 0.001 * grad**2
         step = 0.1 * min(1.0, 3 * (1 - t / (steps + 1))) * (moments[0] / (1 - 0.9**t)) / (np.sqrt(moments[1] / (1 - 0.999**t)) + 1e-10)
         w, raw = w - step[:width], raw - step[width:]
-    return w, raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
-
-
-def fit(labelled: DataFrame, limit: int = TRAIN_DOCS) -> OrdinalModel | None:
-    """A model from labelled(text, grade), grades 0, 1, ...; None if the sample has less than two grades.
-
-    About `limit` rows are used, chosen by a hash of the text, so the features that reach the driver are bounded. Grades
-    that no sample row has get no threshold of their own.
-    """
-    usable = labelled.where(f"grade is not null and text is not null and octet_length(text) between 1 and {TRAIN_BYTES}")
-    rate = min(1.0, limit / max(usable.count(), 1))
-    chosen = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(rate * (1 << 30)))
-    got = chosen.select(F.col("grade").cast("int"), "text").mapInArrow(_document_features, "grade int, names array<string>, counts array<int>")
-    table_ = got.toArrow()
-    return fit_features(table_["grade"].to_numpy(), coded(table_))
+    return w, cuts_of(raw)
 
 
 def coded(got: pa.Table) -> tuple:
@@ -131,7 +150,6 @@ def fit_features(grades: np.ndarray, features: tuple) -> OrdinalModel | None:
         return None
     df = np.bincount(codes, minlength=len(terms))
     used = np.flatnonzero(df >= MIN_DOCS)
-    used = used[np.argsort(-df[used], kind="stable")][:FEATURES]
     new = np.full(len(terms), -1, dtype=np.int32)
     new[used] = np.arange(len(used))
     cols = new[codes]
@@ -144,14 +162,18 @@ def fit_features(grades: np.ndarray, features: tuple) -> OrdinalModel | None:
 def _score(shared):
     def run(batches):
         model = shared.value
-        words = Words(model.index)
+        features = Features(model.index)
         for batch in batches:
-            s = np.array([model.score(words.counts(t or "")) for t in batch.column(0).to_pylist()])
-            above = model.probabilities(s)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(above.sum(axis=1)), pa.array((above > 0.5).sum(axis=1).astype(np.int32)), pa.array(above[:, 0])],
-                [*batch.schema.names, "_severity", "_grade", "_toxic"],
-            )
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                texts = part.column(0).to_pylist()
+                above = model.probabilities(model.scores(texts, features))
+                above[[not t for t in texts]] = 0.0
+                features.forget()
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1), pa.array(above.sum(axis=1)), pa.array((above > 0.5).sum(axis=1).astype(np.int32)), pa.array(above[:, 0])],
+                    ["row", "severity", "grade", "p_toxic"],
+                )
 
     return run
 
@@ -159,22 +181,18 @@ def _score(shared):
 def grade_toxicity(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
     """docs with severity (expected grade), grade (thresholds passed at one half) and p_toxic (P(grade > 0)).
 
-    A null or empty text, and every text if nothing was learned, gets severity 0, grade 0 and p_toxic 0. Columns of docs
-    with these names are replaced; all others stay.
+    A null or empty text, and every text if nothing was learned, gets severity 0, grade 0 and p_toxic 0; a very long text
+    is scored whole like any other. A probability of exactly one half stays below its threshold. Columns of docs with
+    these names are replaced, all others stay whatever their names. Rows repeat as they do in docs; an empty table gives an
+    empty result.
     """
-    docs = docs.drop("severity", "grade", "p_toxic", "_severity", "_grade", "_toxic")
+    docs = docs.drop("severity", "grade", "p_toxic")
     if model is None:
         return docs.select("*", F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(0.0).alias("p_toxic"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    first = docs.select("text", *[c for c in docs.columns if c != "text"])
-    scored = first.mapInArrow(_score(shared), with_fields(first, "_severity double, _grade int, _toxic double"))
-    some = F.coalesce(F.col("text") != "", F.lit(False))
-    return scored.select(
-        *docs.columns,
-        F.when(some, F.col("_severity")).otherwise(0.0).alias("severity"),
-        F.when(some, F.col("_grade")).otherwise(0).alias("grade"),
-        F.when(some, F.col("_toxic")).otherwise(0.0).alias("p_toxic"),
-    )
+    first = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    scored = first.mapInArrow(_score(shared), with_fields(first.select("row"), "severity double, grade int, p_toxic double"))
+    return scored.select("row.*", "severity", "grade", "p_toxic")
 
 
 #: Words that tell toxic from clean documents of the sample this surely (log odds) count as marks of severity.
@@ -186,7 +204,8 @@ MARK_BOUNDS = (3, 6)
 def severity_grades(toxic: np.ndarray, features: tuple) -> np.ndarray:
     """Ordered grades from two-valued labels: 0 if clean; toxic documents by how many marks of toxicity they hold.
 
-    The labels tell only whether a document is toxic. Marks are whole words whose presence in toxic documents of the
+    The labels tell only whether a document is toxic. So the step from 0 to 1 is learned from labels; those above order
+    toxic documents by how much of the sample's toxic vocabulary they hold, not by any human judgement of severity. Marks are whole words whose presence in toxic documents of the
     sample, against clean ones, has log odds of MARK_ODDS or more.
     """
     codes, terms, rows, counts = features
@@ -201,13 +220,18 @@ def severity_grades(toxic: np.ndarray, features: tuple) -> np.ndarray:
 
 
 def fit_from_labels(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> OrdinalModel | None:
-    """A model of severity from labels(doc_id, toxic) of docs(doc_id, text); see severity_grades."""
+    """A model of severity from labels(doc_id, toxic) of docs(doc_id, text); see severity_grades.
+
+    About `limit` labelled ids are drawn by hash. Null labels and ids, and null or empty texts, are left out; an id with
+    several labels counts as toxic if one says so; an id on several rows of docs gives one of its texts, that of the
+    smallest hash. None if nothing is left, or only one kind of label.
+    """
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1 << 30))
     rate = min(1.0, limit / max(labels.count(), 1))
     drawn = labels.where("toxic is not null").where(share < int(rate * (1 << 30))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # about `limit` rows, whatever the table's size
-    marked = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    usable = marked.where(f"text is not null and octet_length(text) between 1 and {TRAIN_BYTES}")
+    marked = docs.where("text <> ''").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    usable = marked.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     got = usable.select(F.col("toxic").cast("int").alias("grade"), "text").mapInArrow(
         _document_features, "grade int, names array<string>, counts array<int>"
     ).toArrow()

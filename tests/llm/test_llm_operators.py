@@ -348,6 +348,65 @@ def test_ordinal_gradient_and_order():
     assert ((model.probabilities(x @ w) > 0.5).sum(1) == grades).mean() > 0.8
 
 
+def test_ordinal_gradient_is_the_slope_of_the_loss():
+    rng = np.random.default_rng(8)
+    n, width = 40, 6
+    rows, cols = np.nonzero(rng.random((n, width)) < 0.5)
+    values, grades = rng.random(len(rows)), rng.integers(0, 4, n)
+    at = np.concatenate([rng.normal(size=width), [-1.0, -0.3, 0.2]])
+    f = lambda x: toxicity.loss_and_gradient(x[:width], x[width:], rows, cols, values, grades, 0.7)
+    slope = [(f(at + d)[0] - f(at - d)[0]) / 2e-6 for d in 1e-6 * np.eye(len(at))]
+    assert np.allclose(f(at)[1], slope, rtol=1e-4, atol=1e-5)
+
+
+def test_scores_are_the_sum_over_features():
+    index = {"=good": 0, "=goodness": 1, "^goodn": 2, "=a": 3, "^goodnes": 4}
+    model = toxicity.OrdinalModel(index, np.array([1.0, -2.0, 3.0, 0.5, 7.0]), np.array([0.0]))
+    features = toxicity.Features(index)
+    texts = ["Good goodness goodnight a a", None, "", "goodness", "unknown words", "a " * 999]
+    want = [np.log(2) - 2 * np.log(2) + 3 * np.log(3) + 0.5 * np.log(3) + 7 * np.log(2), 0, 0, (-2 + 3 + 7) * np.log(2), 0, 0.5 * np.log(1000)]
+    assert np.allclose(model.scores(texts, features), want) and np.allclose(model.scores(texts, features), want)
+
+
+def test_toxicity_on_documents_not_fitted(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.col("doc_id"), F.lit(4)) == 0
+    model = toxicity.fit_from_labels(docs, labels.where(~held))
+    got = toxicity.grade_toxicity(docs, model).join(labels.where(held).where("toxic is not null"), "doc_id").select("grade", "toxic").toPandas()
+    caught = ((got.grade > 0) & (got.toxic == 1)).sum()
+    assert (got.toxic == 1).sum() >= 5 and caught >= 0.8 * (got.toxic == 1).sum() and caught >= 0.9 * (got.grade > 0).sum()
+
+
+def test_more_planted_words_give_no_less_severity(spark):
+    rng = np.random.default_rng(3)
+    bad, calm = [f"vile{k}x" for k in "abcdefgh"], [f"word{k}" for k in range(200)]
+    text = lambda k: " ".join(rng.permutation([*rng.choice(bad, k), *rng.choice(calm, 30)]))
+    strength = [int(k) for k in rng.choice([0, 0, 0, 1, 2, 4, 8], 1200)]
+    docs = frame(spark, [text(k) for k in strength])
+    labels = spark.createDataFrame([(i, int(k > 0)) for i, k in enumerate(strength) if i % 3], "doc_id long, toxic int")
+    out = toxicity.grade_toxicity(docs, toxicity.fit_from_labels(docs, labels)).where("doc_id % 3 = 0").toPandas()
+    mean = out.groupby([strength[i] for i in out.doc_id]).severity.mean()
+    assert list(mean.index) == [0, 1, 2, 4, 8] and (np.diff(mean) > 0).all()
+
+
+def test_models_of_nothing_repeats_and_clashing_names(spark):
+    docs = frame(spark, ["the and of", "der die das"]).withColumns({c: F.lit(3) for c in ("row", "letters", "bits", "_score", "Severity")})
+    assert language_id.identify(docs.where("doc_id < 0"), None).count() == 0 == toxicity.grade_toxicity(docs.where("doc_id < 0"), None).count()
+    empty = spark.createDataFrame([], "text string, lang string")
+    assert language_id.train(empty) is None
+    many = spark.createDataFrame([("the and of to " * 5, "en")] * 3000 + [("der die das und " * 5, "de"), ("x" * 200_000, "long")], "text string, lang string")
+    model = language_id.train(many, train_bytes=100)
+    assert model.langs == ["de", "en", "long"]
+    got = language_id.identify(docs.union(docs), model).collect()
+    assert sorted(r.lang_pred for r in got) == ["de", "de", "en", "en"] and all(r.row == r.bits == r.letters == 3 for r in got)
+    toxic = frame(spark, ["you fool you fool"] * 30 + ["a calm day"] * 60).withColumn("row", F.lit(1))
+    toxic = toxic.union(toxic.where("doc_id = 0").crossJoin(spark.range(50).select()))
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(90)], "doc_id long, toxic int")
+    assert toxicity.grade_toxicity(toxic, toxicity.fit_from_labels(toxic, labels)).where("grade > 0").count() == 80
+    assert toxicity.fit_from_labels(toxic, labels.where("doc_id < 0")) is None
+
+
 def test_toxicity_separates_and_handles_edges(spark):
     bad = ["you are a wretched fool " + "word " * (i % 3) for i in range(60)]
     good = ["a calm day by the river " + "leaf " * (i % 5) for i in range(120)]
