@@ -446,15 +446,16 @@ def _head(texts: DataFrame, pieces: Pieces, shared, most: int) -> tuple:
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, HEAD_DOCS / max(texts.count(), 1)) * (1 << 30))
     counted = texts.where(share).select("text").mapInArrow(_frequent, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     frequent = counted.orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()["token"].to_pylist()
-    split = [pieces.words(t) if t and t[0] != " " else [" "] for t in frequent]
-    kept = [(t, ws) for t, ws in zip(frequent, split) if max(map(len, ws)) <= LONGEST]
-    frequent, split = [t for t, _ in kept], [ws for _, ws in kept]
-    words = list(dict.fromkeys(w for ws in split for w in ws))
+    split = lambda t: pieces.words(t) if t else [" "]
+    frequent = [t for t in frequent if max(map(len, split(t))) <= LONGEST]
+    words = list(dict.fromkeys(w for t in frequent for w in split(t)))
     rows = texts.sparkSession.createDataFrame(pa.table({"word": pa.array(words, pa.string())}))
     got = encode_words(rows.repartition(8, "word"), pieces).mapInArrow(_judged(shared), "word string, ids binary, good boolean").toArrow()
     ids = dict(zip(got["word"].to_pylist(), zip(got["ids"].to_pylist(), got["good"].to_pylist())))
     tokens, codes, packed, bad = {}, {}, [], []
-    for t, ws in zip(frequent, split):  # frequent tokens get small codes
+    del got
+    for t in frequent:  # frequent tokens get small codes
+        ws = split(t)
         tokens[t] = len(packed)
         if len(ws) == 1:
             codes[ws[0]] = len(packed)

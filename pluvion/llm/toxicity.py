@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector w for all ordered thresholds theta. The output is the expected
-severity, the sum over k of P(grade > k). Features are log(1 + count) of lower-cased words and of their prefixes.
+severity, the sum over k of P(grade > k). Features are log(1 + count) of lower-cased words and of their prefixes, by
+their hashes.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,11 @@ PREFIXES = (5, 7)
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}\p{N}]*")
 
 
-def names_of(word: str) -> list[str]:
-    """The features of a word: itself and its prefixes."""
-    return ["=" + word, *("^" + word[:k] for k in PREFIXES if len(word) > k)]
+def features_of(word: str) -> list[int]:
+    """The features of a word, as 63-bit hashes: itself (odd) and its prefixes (even)."""
+    digest = xxhash.xxh64_intdigest
+    own = digest(word) >> 1 | 1
+    return [own, *(digest(word[:k], 1) >> 1 & ~1 for k in PREFIXES if len(word) > k)]
 
 
 def _document_features(batches):
@@ -37,11 +40,11 @@ def _document_features(batches):
         for text in batch.column(1).to_pylist():
             got: dict = {}
             for word, n in Counter(WORD.findall((text or "").lower())).items():
-                for f in names_of(word):
+                for f in features_of(word):
                     got[f] = got.get(f, 0) + n
             names.append(list(got)), counts.append(list(got.values()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["grade", "names", "counts"]
+            [batch.column(0), pa.array(names, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], ["grade", "names", "counts"]
         )
 
 
@@ -50,7 +53,7 @@ class Features:
 
     KEEP = 1 << 18
 
-    def __init__(self, index: dict[str, int]):
+    def __init__(self, index: dict[int, int]):
         self.index, self.at = index, {}
         self.flat, self.ends = array("i"), array("i", [0])
 
@@ -59,7 +62,7 @@ class Features:
         if None in got:
             for i, k in enumerate(got):
                 if k is None:
-                    self.flat.extend(self.index[x] for x in names_of(words[i]) if x in self.index)
+                    self.flat.extend(self.index[x] for x in features_of(words[i]) if x in self.index)
                     self.ends.append(len(self.flat))
                     got[i] = self.at[words[i]] = len(self.ends) - 2
         return got
@@ -70,7 +73,7 @@ class Features:
 
 
 class OrdinalModel:
-    def __init__(self, index: dict[str, int], weights: np.ndarray, cuts: np.ndarray):
+    def __init__(self, index: dict[int, int], weights: np.ndarray, cuts: np.ndarray):
         self.index, self.weights, self.cuts = index, weights, cuts
 
     def scores(self, texts: list[str | None], features: Features) -> np.ndarray:
@@ -137,10 +140,9 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
 def coded(got: pa.Table) -> tuple:
     """(codes, terms, rows, counts) of the sample's features, in as few bytes as they need."""
     names = got["names"].combine_chunks()
-    flat = names.flatten().dictionary_encode()
+    terms, codes = np.unique(names.flatten().to_numpy(), return_inverse=True)
     rows = np.repeat(np.arange(got.num_rows, dtype=np.int32), np.diff(names.offsets.to_numpy()))
-    counts = got["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.indices.to_numpy(zero_copy_only=False), flat.dictionary, rows, counts
+    return codes.astype(np.int32), terms, rows, got["counts"].combine_chunks().flatten().to_numpy()
 
 
 def fit_features(grades: np.ndarray, features: tuple) -> OrdinalModel | None:
@@ -156,7 +158,7 @@ def fit_features(grades: np.ndarray, features: tuple) -> OrdinalModel | None:
     keep = cols >= 0
     values = np.log1p(counts[keep].astype(np.float32))
     w, cuts = fit_ordinal(rows[keep], cols[keep], values, np.searchsorted(seen, grades), max(len(used), 1))
-    return OrdinalModel({t: i for i, t in enumerate(terms.take(pa.array(used)).to_pylist())}, w, cuts)
+    return OrdinalModel({t: i for i, t in enumerate(terms[used].tolist())}, w, cuts)
 
 
 def _score(shared):
@@ -212,8 +214,7 @@ def severity_grades(toxic: np.ndarray, features: tuple) -> np.ndarray:
     yes = np.bincount(codes[toxic[rows]], minlength=len(terms))
     no = np.bincount(codes, minlength=len(terms)) - yes
     odds = np.log((yes + 0.5) / (toxic.sum() + 1)) - np.log((no + 0.5) / ((~toxic).sum() + 1))
-    whole = pc.starts_with(terms, "=").to_numpy(zero_copy_only=False)
-    mark = (yes >= MARK_DOCS) & (odds >= MARK_ODDS) & whole
+    mark = (yes >= MARK_DOCS) & (odds >= MARK_ODDS) & (terms & 1 == 1)
     hit = mark[codes]
     hits = np.bincount(rows[hit], weights=counts[hit], minlength=len(toxic))
     return np.where(toxic, 1 + np.searchsorted(MARK_BOUNDS, hits, side="right"), 0).astype(np.int32)
@@ -233,13 +234,16 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS)
     marked = docs.where("text <> ''").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     usable = marked.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     got = usable.select(F.col("toxic").cast("int").alias("grade"), "text").mapInArrow(
-        _document_features, "grade int, names array<string>, counts array<int>"
+        _document_features, "grade int, names array<long>, counts array<int>"
     ).toArrow()
     if not got.num_rows:
         return None
     toxic, features = got["grade"].to_numpy() > 0, coded(got)
     del got
-    return fit_features(severity_grades(toxic, features), features)
+    model = fit_features(severity_grades(toxic, features), features)
+    del features
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

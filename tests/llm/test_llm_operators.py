@@ -360,7 +360,8 @@ def test_ordinal_gradient_is_the_slope_of_the_loss():
 
 
 def test_scores_are_the_sum_over_features():
-    index = {"=good": 0, "=goodness": 1, "^goodn": 2, "=a": 3, "^goodnes": 4}
+    (good, (goodness, goodn, goodnes), (a,)) = toxicity.features_of("good")[0], toxicity.features_of("goodness"), toxicity.features_of("a")
+    index = {good: 0, goodness: 1, goodn: 2, a: 3, goodnes: 4}
     model = toxicity.OrdinalModel(index, np.array([1.0, -2.0, 3.0, 0.5, 7.0]), np.array([0.0]))
     features = toxicity.Features(index)
     texts = ["Good goodness goodnight a a", None, "", "goodness", "unknown words", "a " * 999]
