@@ -65,7 +65,8 @@ def top_nodes(table: DataFrame, k: int) -> DataFrame:
     """The k riskiest nodes with their rank: by p, then depth, then peak rain, nulls last, then id."""
     order = [F.desc_nulls_last("max_p"), F.desc_nulls_last("max_depth"), F.desc_nulls_last("peak_rain"), F.asc("node_id")]
     best = table.orderBy(*order).limit(k)
-    rows = F.sort_array(F.collect_list(F.struct((-F.col("max_p")).alias("a"), (-F.col("max_depth")).alias("b"), (-F.col("peak_rain")).alias("c"), "node_id")))
+    keys = [x for c in ("max_p", "max_depth", "peak_rain") for x in (F.isnull(c).alias(f"no_{c}"), (-F.col(c)).alias(c))]
+    rows = F.sort_array(F.collect_list(F.struct(*keys, "node_id")))
     ranked = best.agg(rows.alias("r")).select(F.posexplode("r").alias("pos", "x"))  # k rows at most
     return best.join(ranked.select((F.col("pos") + 1).alias("rank"), F.col("x.node_id").alias("node_id")), "node_id")
 
@@ -94,10 +95,11 @@ def peak_hour(mean: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def junction_timeline(mean: DataFrame, node_id) -> DataFrame:
-    """The steps of one node with p, its band of one spread, rain and depth."""
-    return mean.where(F.col("node_id") == node_id).select(
-        "t", "p", F.greatest(F.col("p") - F.col("spread"), F.lit(0.0)).alias("p_low"), F.least(F.col("p") + F.col("spread"), F.lit(1.0)).alias("p_high"), "rain", "depth"
+def junction_timeline(mean: DataFrame, node_id=None) -> DataFrame:
+    """The steps of one node, or of all, with p, its band of one spread, rain and depth."""
+    own = mean if node_id is None else mean.where(F.col("node_id") == node_id)
+    return own.select(
+        "node_id", "t", "p", F.greatest(F.col("p") - F.col("spread"), F.lit(0.0)).alias("p_low"), F.least(F.col("p") + F.col("spread"), F.lit(1.0)).alias("p_high"), "rain", "depth"
     )
 
 

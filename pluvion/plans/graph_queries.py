@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bbox_area_km2, fallback_elevation, grade, grown_extent, haversine_m, utm_zone
@@ -200,20 +201,25 @@ def topographic_position(spark, d):
 
 
 NEAR = (
-    "near AS (SELECT a.node_id AS a, b.node_id AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, b.elevation FROM nodes_xy a JOIN nodes_xy b ON a.node_id % 4 = 0 AND b.node_id % 4 <> 0 "
+    "near AS (SELECT a.node_id AS a, b.node_id AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, b.elevation FROM nodes_xy a JOIN nodes_xy b ON a.elevation < 876 AND b.elevation >= 876 "
     "QUALIFY row_number() OVER (PARTITION BY a.node_id ORDER BY d, b.node_id) <= 4)"
 )
 
 
 def _voids(spark, d):
     p = A.nodes_xy(spark, d).select(F.col("node_id").alias("id"), "x", "y", "elevation")
-    return p.where("id % 4 = 0"), p.where("id % 4 <> 0")
+    return p.where("elevation < 876"), p.where("elevation >= 876")
 
 
-@query(f"WITH {NEAR} SELECT a, b, round(d, 4) AS d, row_number() OVER (PARTITION BY a ORDER BY near.d, b)::INTEGER AS rank FROM near")
+@query(
+    "SELECT a.node_id AS a, b.node_id AS b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 4) AS d, row_number() OVER (PARTITION BY a.node_id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.node_id)::INTEGER AS rank "
+    "FROM nodes_xy a JOIN nodes_xy b ON a.node_id <> b.node_id QUALIFY rank <= 4"
+)
 def nearest_nodes(spark, d):
-    voids, rest = _voids(spark, d)
-    return P.nearest_k(voids, rest, 4, 200.0).select("a", "b", F.round("d", 4).alias("d"), "rank")
+    p = A.nodes_xy(spark, d).select(F.col("node_id").alias("id"), "x", "y")
+    found = P.nearest_k(p, p, 5, 200.0).where("a <> b")  # a node is among its own five
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    return found.select("a", "b", F.round("d", 4).alias("d"), rank.alias("rank")).where("rank <= 4")
 
 
 @query(f"WITH {NEAR} SELECT a AS id, round(sum(elevation / pow(greatest(d, 1e-6), 2)) / sum(1 / pow(greatest(d, 1e-6), 2)), 6) AS filled FROM near GROUP BY a")
@@ -223,14 +229,14 @@ def filled_voids(spark, d):
 
 
 SEGS = (
-    "dr AS (SELECT row_number() OVER (ORDER BY node_id) AS k, x, y FROM nodes_xy WHERE node_id % 25 = 0), "
+    "dr AS (SELECT node_id AS k, x, y FROM nodes_xy), "
     "sg AS (SELECT p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2 FROM dr p JOIN dr q ON q.k = p.k + 1)"
 )
 
 
 def _drains(spark, d):
-    p = A.nodes_xy(spark, d).where("node_id % 25 = 0").select("node_id", "x", "y")
-    q = p.select((F.col("node_id") - 25).alias("node_id"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    p = A.nodes_xy(spark, d).select("node_id", "x", "y")
+    q = p.select((F.col("node_id") - 1).alias("node_id"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     return p.join(q, "node_id").select(F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
 
 

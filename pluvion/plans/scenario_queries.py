@@ -47,11 +47,12 @@ def event_peak(spark, d):
 
 
 @query(
-    "SELECT round(max(abs(rain - floor(rain))), 6) AS max_difference, 0::BIGINT AS unmatched, count_if((rain > 300) <> (floor(rain) > 300)) AS label_mismatches, max(abs(rain - floor(rain))) <= 1.5 AS same FROM node_hours"
+    "SELECT round(max(abs(rain - floor(rain))) FILTER (WHERE t % 17 <> 0), 6) AS max_difference, count_if(t % 17 = 0) AS unmatched, count_if(t % 17 <> 0 AND (rain > 300) <> (floor(rain) > 300)) AS label_mismatches, "
+    "max(abs(rain - floor(rain))) FILTER (WHERE t % 17 <> 0) <= 1.5 AS same FROM node_hours"
 )
 def reproduced_rain(spark, d):
     a = A.node_hours(spark, d).withColumn("y", (F.col("rain") > 300).cast("int"))
-    b = A.node_hours(spark, d).withColumn("rain", F.floor("rain").cast("double")).withColumn("y", (F.col("rain") > 300).cast("int"))
+    b = A.node_hours(spark, d).where("t % 17 <> 0").withColumn("rain", F.floor("rain").cast("double")).withColumn("y", (F.col("rain") > 300).cast("int"))
     return D.reproduction(a, b, "rain", 1.5).withColumn("max_difference", F.round("max_difference", 6))
 
 
@@ -97,11 +98,16 @@ def hour_categories(spark, d):
     return rows.select("t", C.hour_category(F.lit("replay"), source, F.col("t") % 7 == 0, F.col("t") % 4 == 0).alias("category"))
 
 
-@query("SELECT CASE WHEN (SELECT round(sum(rain), 2) FROM node_hours) = (SELECT round(sum(mm), 2) FROM hourly) THEN 0 ELSE 1 END::BIGINT AS changed")
+@query(
+    "WITH a AS (SELECT round(sum(mm), 2) AS total, count(*) AS steps, max(t) AS last_t, NULL::BIGINT AS nodes FROM hourly), b AS (SELECT round(sum(mm), 2) AS total, count(*) AS steps, max(t) AS last_t, (SELECT count(*) FROM nodes) AS nodes FROM wet) "
+    "SELECT concat_ws(', ', CASE WHEN a.total IS DISTINCT FROM b.total THEN 'total' END, CASE WHEN a.steps IS DISTINCT FROM b.steps THEN 'steps' END, CASE WHEN a.last_t IS DISTINCT FROM b.last_t THEN 'last_t' END, CASE WHEN a.nodes IS DISTINCT FROM b.nodes THEN 'nodes' END) AS reasons FROM a, b"
+)
 def stale_inputs(spark, d):
-    a = A.node_hours(spark, d).agg(F.round(F.sum("rain"), 2).alias("total"))
-    b = A.hourly(spark, d).agg(F.round(F.sum("mm"), 2).alias("total"))
-    return D.stale_reasons(a, b, ["total"]).select(F.size("reasons").cast("long").alias("changed"))
+    """Which of the stored inputs differ from those of now; the two records end alike or not as the data have it."""
+    facts = (F.round(F.sum("mm"), 2).alias("total"), F.count("*").alias("steps"), F.max("t").alias("last_t"))
+    before = A.hourly(spark, d).agg(*facts).withColumn("nodes", F.lit(None).cast("long"))
+    now = A.wet(spark, d).agg(*facts).join(F.broadcast(A.nodes(spark, d).agg(F.count("*").alias("nodes"))), on=F.lit(True))
+    return D.stale_reasons(before, now, ["total", "steps", "last_t", "nodes"]).select(F.concat_ws(", ", "reasons").alias("reasons"))
 
 
 @query()

@@ -199,9 +199,9 @@ def peak_hour(spark, d):
     return R.peak_hour(_mean(spark, d), 0.9)
 
 
-@query(f"WITH {MEAN} SELECT t, p, round(greatest(p - spread, 0.0), 6) AS p_low, round(least(p + spread, 1.0), 6) AS p_high, rain FROM mean WHERE node_id = 7")
+@query(f"WITH {MEAN} SELECT node_id, t, p, round(greatest(p - spread, 0.0), 6) AS p_low, round(least(p + spread, 1.0), 6) AS p_high, rain FROM mean")
 def junction_timeline(spark, d):
-    return rounded(R.junction_timeline(_mean(spark, d), 7), 6, "p_low", "p_high").drop("depth")
+    return rounded(R.junction_timeline(_mean(spark, d)), 6, "p_low", "p_high").drop("depth")
 
 
 @query("SELECT source AS model, round(avg(p), 8) AS mean_p, round(avg(y), 8) AS rate FROM scores GROUP BY source")
@@ -278,14 +278,14 @@ def flooding_events(spark, d):
 
 @query(
     f"WITH {LABELS}, h AS (SELECT t, avg(y) AS share, sum(rain) AS mm FROM lab JOIN node_hours USING (t, node_id) GROUP BY t), "
-    "w AS (SELECT t, share, sum(mm) OVER (ORDER BY t RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS s6 FROM h) "
-    "SELECT round(avg(share), 8) AS season_rate, count_if(share > 0) AS flooded_hours, count_if(share > 0 AND s6 < 2000) AS dry_floods FROM w"
+    "m AS (SELECT *, month(DATE '1970-01-01' + (t // 24)::INTEGER) AS mo, sum(mm) OVER (ORDER BY t RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS s6 FROM h) "
+    "SELECT round(avg(share) FILTER (WHERE mo = 1), 8) AS season_rate, count_if(share > 0) AS flooded_hours, count_if(share > 0 AND s6 < 2000) AS dry_floods FROM m"
 )
 def season_rates(spark, d):
     rain = A.node_hours(spark, d)
     per = _labels(spark, d).join(rain, ["t", "node_id"]).groupBy("t").agg(F.avg("y").alias("share"), F.sum("rain").alias("mm"))
-    rows = S.trailing_sums(per, [], "mm", [6]).withColumn("month", F.lit(1))
-    return rounded(D.season_rates(rows, [1], 2000.0), 8, "season_rate")
+    month = F.month(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("t") / 24).cast("int")))
+    return rounded(D.season_rates(S.trailing_sums(per, [], "mm", [6]).withColumn("month", month), [1], 2000.0), 8, "season_rate")
 
 
 @query()

@@ -245,7 +245,7 @@ def bias_rescaled(spark, d):
 @query(
     f"WITH {SPINE}, r AS (SELECT s.t, CASE WHEN w.t IS NULL THEN 'missing' WHEN s.t % 5 = 0 THEN 'synthetic' ELSE 'gauge' END AS source FROM spine s LEFT JOIN wet w ON s.t = w.t) "
     "SELECT count_if(source = 'gauge') AS observed, count_if(source = 'synthetic') AS synthetic, count_if(source = 'missing') AS gap_filled, "
-    "'gauge' AS main_source, true AS mixed FROM r"
+    "mode(source) FILTER (WHERE source <> 'missing') AS main_source, count_if(source = 'gauge') > 0 AND count_if(source = 'synthetic') > 0 AS mixed FROM r"
 )
 def source_mixture(spark, d):
     rows = A.wet(spark, d).select("t", "mm", F.lit(False).alias("is_imputed"), F.when(F.col("t") % 5 == 0, "synthetic").otherwise("gauge").alias("source"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import gzip
+import io
 import math
 
 import numpy as np
@@ -13,7 +15,12 @@ from pyspark.sql import functions as F
 from ..operators.series import dedup, hour_ending
 
 WEATHER = ["timestamp", "precipitation_mm", "is_imputed", "source"]
-REPORT_ALIASES = {"time": "timestamp", "latitude": "lat", "longitude": "lon", "lng": "lon", "radius": "radius_m", "notes": "description"}
+#: Other names of a report file's columns.
+REPORT_ALIASES = {
+    "time": "timestamp", "datetime": "timestamp", "date_time": "timestamp", "reported_at": "timestamp", "latitude": "lat", "longitude": "lon",
+    "lng": "lon", "long": "lon", "radius": "radius_m", "extent_m": "radius_m", "notes": "description", "comment": "description",
+}
+REPORT_COLUMNS = ["timestamp", "lat", "lon", "radius_m", "severity", "description"]
 
 
 def parse_time(c: Column, zone: str) -> Column:
@@ -82,16 +89,30 @@ def leads_long(wide: DataFrame, leads: dict[str, int], most_missing: float = 0.5
     return wide.select("t", F.inline(pairs)).select("lead_h", "t", F.coalesce("v", F.lit(0.0)).alias("forecast"), F.isnull("v").alias("is_imputed"))
 
 
+def _report_rows(batches):
+    """The rows of whole CSV files, with the line of the file that each begins on."""
+    for batch in batches:
+        for text in batch["value"]:
+            rows = csv.reader(io.StringIO(text.removeprefix("\ufeff")))
+            names = [REPORT_ALIASES.get(c.strip().lower(), c.strip().lower()) for c in next(rows, [])]
+            if lacking := [c for c in ("timestamp", "lat", "lon") if c not in names]:
+                raise ValueError(f"report file lacks {lacking}")
+            out, line = [], rows.line_num + 1
+            for row in rows:
+                if row:
+                    cells = dict(zip(names, row))
+                    out.append([line, *[cells.get(c) for c in REPORT_COLUMNS]])
+                line = rows.line_num + 1
+            yield pd.DataFrame(out, columns=["line", *REPORT_COLUMNS])
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """All-string rows of a flood report CSV with `line`, its number in the file (the header is line 1)."""
-    raw = spark.read.csv(path, header=True)
-    raw = raw.toDF(*[REPORT_ALIASES.get(c.strip().lower(), c.strip().lower()) for c in raw.columns])
-    for c in ("radius_m", "severity", "description"):
-        if c not in raw.columns:
-            raw = raw.withColumn(c, F.lit(None).cast("string"))
-    if lacking := [c for c in ("timestamp", "lat", "lon") if c not in raw.columns]:
-        raise ValueError(f"report file lacks {lacking}")
-    return raw.withColumn("line", F.monotonically_increasing_id() + 2)
+    """All-string rows of flood report CSV files with `line`, where each begins in its file (the header is line 1).
+
+    Each file is read as one value, as lines can only be counted from its start; files run side by side.
+    """
+    schema = "line long, " + ", ".join(f"{c} string" for c in REPORT_COLUMNS)
+    return spark.read.text(path, wholetext=True).mapInPandas(_report_rows, schema)
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +122,7 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """
     data = "data array<struct<_key: string, _VALUE: string>>"
     keys = spark.read.format("xml").option("rowTag", "key").schema("_id string, `_attr.name` string").load(path)
-    names = {r[0]: r[1] for r in keys.limit(1000).collect() if r[0]}
+    names = {r[0]: r[1] for r in keys.collect() if r[0]}  # declared once a file
     label = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else None
 
     def attributes() -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -76,25 +77,40 @@ def alerts(predictions: DataFrame, nodes: DataFrame, threshold: float) -> DataFr
     return predictions.where(F.col("p") >= threshold).join(nodes, "node_id")
 
 
-def restate(base: Callable[[], DataFrame] | None, path: str, keys: list[str], rank: str) -> Callable[[DataFrame, int], None]:
+def restate(path: str, keys: list[str], rank: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: of stored rows and the batch, the row of the lowest rank for each key, by partition `part`.
 
-    Only the partitions that the batch touches are read and written again, to a new folder version each time; a reader
-    takes the newest version that is complete. A batch that runs twice writes the same rows.
+    Only the partitions that the batch touches are read and written again, each as a version of its own; a reader takes the
+    newest version of each partition (read_restated). A batch that runs twice reads what was there before it and writes the
+    same rows.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parts = batch.select("part").distinct()
-        rows = batch
-        if base is not None and (stored := base()) is not None:
-            rows = stored.join(F.broadcast(parts), "part", "left_semi").unionByName(batch)
+        rows, before = batch, read_restated(batch.sparkSession, path, before=batch_id)
+        if before is not None:
+            parts = batch.select("part").distinct()
+            rows = before.join(parts, "part", "left_semi").unionByName(batch)
         cols = [c for c in rows.columns if c not in keys]
         best = rows.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.struct(rank)).alias("_r")).select(*keys, "_r.*")
-        best.write.mode("overwrite").partitionBy("part").parquet(f"{path}/version={batch_id}")
+        versioned = best.withColumn("version", F.lit(batch_id))
+        versioned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "version").parquet(path)
 
     return write
 
 
+def read_restated(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest version of each partition that restate wrote (older than a batch, if one is given); None if there is none."""
+    try:
+        rows = spark.read.parquet(path).withColumn("part", F.col("part").cast("string"))
+    except AnalysisException:
+        return None
+    if before is not None:
+        rows = rows.where(F.col("version") < before)
+    newest = rows.groupBy("part").agg(F.max("version").alias("version"))
+    found = rows.join(newest, ["part", "version"], "left_semi").drop("version")
+    return None if found.isEmpty() else found
+
+
 def match_forecasts(forecasts: DataFrame, observations: DataFrame, within: str = "3 hours") -> DataFrame:
     """Forecast rows (station, valid_ts, lead_h, forecast) with the observation of their hour, arriving within a bound."""
     f = forecasts.withWatermark("valid_ts", within).alias("f")

@@ -26,13 +26,13 @@ def test_hour_ending_totals(spark):
 
 
 def test_rain_events_by_clock(spark):
-    df = ts(spark, [(t, 1.0) for t in (5, 6, 9, 20, 24)], "t long, mm double")
+    df = ts(spark, [(t, 1.0) for t in (3, 4, 8, 17, 19, 30)], "t long, mm double")
     got = S.event_totals(S.rain_events(df, [], "mm", 0.0, 2), [], "mm").orderBy("event_id").collect()
-    assert [(r.first_t, r.last_t) for r in got] == [(5, 9), (20, 20), (24, 24)]
-    adjacent = ts(spark, [(t, 1.0) for t in (0, 1, 5, 6)], "t long, mm double")
-    assert [S.rain_events(adjacent, [], "mm", 0.0, g).select("event_id").distinct().count() for g in (2, 3)] == [2, 1]
-    inside = S.steps_of_events(S.event_totals(S.rain_events(df, [], "mm", 0.0, 2), [], "mm"), [], spark.range(4, 11).withColumnRenamed("id", "t"))
-    assert [r.event_id for r in inside.orderBy("t").collect()] == [-1, 1, 1, 1, 1, 1, -1]
+    assert [(r.first_t, r.last_t) for r in got] == [(3, 4), (8, 8), (17, 19), (30, 30)]
+    adjacent = ts(spark, [(t, 1.0) for t in (2, 7, 8, 11)], "t long, mm double")
+    assert [S.rain_events(adjacent, [], "mm", 0.0, g).select("event_id").distinct().count() for g in (1, 2, 4)] == [3, 2, 1]
+    inside = S.steps_of_events(S.event_totals(S.rain_events(df, [], "mm", 0.0, 2), [], "mm"), [], spark.range(2, 10).withColumnRenamed("id", "t"))
+    assert [r.event_id for r in inside.orderBy("t").collect()] == [-1, 1, 1, -1, -1, -1, 2, -1]
 
 
 def test_trailing_and_antecedent_sums_against_numpy(spark):
