@@ -32,11 +32,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..operators.components import stored
 from .common import table
 
 #: Characters of a word that the bits of the fold's state can hold, and starts of a chunk of longer words.
 LONGEST, CHUNK = 62, 64
-#: Space-delimited tokens in the head at most, and documents of the sample that it comes from, about.
+#: Words in the head at most (and half as many space-delimited tokens), and documents of the sample it comes from, about.
 HEAD, HEAD_DOCS = 262_144, 20_000
 WORD = regex.compile(r" *\p{L}+| *[^\p{L} ]+| +")
 
@@ -273,28 +274,37 @@ def encode_long_words(words: DataFrame, pieces: Pieces, shared) -> DataFrame:
 
 
 def _judged(shared):
-    """(word, ids, good): ids as bytes; good tells whether decoding gives the word back."""
+    """(word, ids): a byte that tells whether decoding gives the word back, and the ids as bytes."""
 
     def run(batches):
         pieces: Pieces = shared.value
         for batch in batches:
             words, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = [decode_ids(x, pieces.names, pieces.byte_of) == w for w, x in zip(words, ids)]
-            packed = [array(pieces.code, x).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(packed, pa.binary()), pa.array(good, pa.bool_()), *batch.columns[2:]], ["word", "ids", "good", *batch.schema.names[2:]]
-            )
+            packed = [bytes([g]) + array(pieces.code, x).tobytes() for g, x in zip(good, ids)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["word", "ids"])
 
     return run
 
 
-def _frequent(batches):
-    """(token, n) of the space-delimited tokens of a partition of the sample."""
-    total = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            total.update((text or "").replace("▁", " ").split(" "))
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["token", "n"])
+def _frequent(shared):
+    """(token, n, whole): space-delimited tokens of a partition of the sample (whole), and their words."""
+
+    def run(batches):
+        pieces, tokens, words = shared.value, Counter(), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                tokens.update((text or "").replace("▁", " ").split(" "))
+        for token, n in tokens.items():
+            for word in pieces.words(token) if token else [" "]:
+                words[word] += n
+        for counts, whole in ((tokens, True), (words, False)):
+            names = [x for x in counts if whole or len(x) <= LONGEST]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array([counts[x] for x in names], pa.int64()), pa.array([whole] * len(names), pa.bool_())], ["token", "n", "whole"]
+            )
+
+    return run
 
 
 class Coder:
@@ -399,6 +409,7 @@ def _filled(known):
         own, begin = np.frombuffer(flat, dtype=kind), np.concatenate([[0], ends[:-1]]).astype(np.int64)
         size = (ends - begin).astype(np.int64)
         unpack = zstandard.ZstdDecompressor().decompress
+        unit = kind.itemsize
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
@@ -414,7 +425,9 @@ def _filled(known):
                 if not np.array_equal(asked, counts):
                     raise ValueError("words of a row were lost, or docs gave other rows when read again")
                 packed = found.field(1).to_pylist()
-                more = np.array([len(x) // kind.itemsize for x in packed], dtype=np.int64)
+                good = np.array([x[0] == 1 for x in packed], dtype=bool)
+                packed = [x[1:] for x in packed]
+                more = np.array([len(x) // unit for x in packed], dtype=np.int64)
                 place = (owner << 32) + found.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 order = np.argsort(place)
                 source = np.concatenate([own, np.frombuffer(b"".join(packed), dtype=kind)]).astype(np.int32)
@@ -427,7 +440,7 @@ def _filled(known):
                 ids = source[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 pieces_of = np.bincount(row, weights=n, minlength=len(raw)).astype(np.int64)
                 broken = np.zeros(len(raw), dtype=bool)
-                broken[owner[~found.field(2).to_numpy(zero_copy_only=False).astype(bool)]] = True
+                broken[owner[~good]] = True
                 same = [x and not b for x, b in zip(part.column(1).to_pylist(), broken.tolist())]
                 offsets = pa.array(np.concatenate([[0], np.cumsum(pieces_of)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -441,17 +454,19 @@ def _filled(known):
 def _head(texts: DataFrame, pieces: Pieces, shared, most: int) -> tuple:
     """(pieces, code by token, code by word, codes, ids one after another, their ends, codes that don't decode back).
 
-    The tokens most frequent in a sample of texts(doc_id, text), at most `most`, and their words, which the lattice encodes.
+    The words most frequent in a sample of texts(doc_id, text), at most `most`, half as many tokens, and all words of
+    these, which the lattice encodes.
     """
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, HEAD_DOCS / max(texts.count(), 1)) * (1 << 30))
-    counted = texts.where(share).select("text").mapInArrow(_frequent, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    frequent = counted.orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()["token"].to_pylist()
+    found = texts.where(share).select("text").mapInArrow(_frequent(shared), "token string, n long, whole boolean")
+    counted = stored(found.groupBy("whole", "token").agg(F.sum("n").alias("n")))
+    top = lambda whole, k: counted.where(F.col("whole") == whole).orderBy(F.desc("n"), "token").limit(k).select("token").toArrow()["token"].to_pylist()
     split = lambda t: pieces.words(t) if t else [" "]
-    frequent = [t for t in frequent if max(map(len, split(t))) <= LONGEST]
-    words = list(dict.fromkeys(w for t in frequent for w in split(t)))
+    frequent = [t for t in top(True, most // 2) if max(map(len, split(t))) <= LONGEST]
+    words = list(dict.fromkeys([*(w for t in frequent for w in split(t)), *top(False, most)]))
     rows = texts.sparkSession.createDataFrame(pa.table({"word": pa.array(words, pa.string())}))
-    got = encode_words(rows.repartition(8, "word"), pieces).mapInArrow(_judged(shared), "word string, ids binary, good boolean").toArrow()
-    ids = dict(zip(got["word"].to_pylist(), zip(got["ids"].to_pylist(), got["good"].to_pylist())))
+    got = encode_words(rows.repartition(8, "word"), pieces).mapInArrow(_judged(shared), "word string, ids binary").toArrow()
+    ids = dict(zip(got["word"].to_pylist(), got["ids"].to_pylist()))
     tokens, codes, packed, bad = {}, {}, [], []
     del got
     for t in frequent:  # frequent tokens get small codes
@@ -459,13 +474,13 @@ def _head(texts: DataFrame, pieces: Pieces, shared, most: int) -> tuple:
         tokens[t] = len(packed)
         if len(ws) == 1:
             codes[ws[0]] = len(packed)
-        packed.append(b"".join(ids[w][0] for w in ws))
-        bad += [] if all(ids[w][1] for w in ws) else [len(packed) - 1]
+        packed.append(b"".join(ids[w][1:] for w in ws))
+        bad += [] if all(ids[w][0] for w in ws) else [len(packed) - 1]
     for w in words:
         if w not in codes:
             codes[w] = len(packed)
-            packed.append(ids[w][0])
-            bad += [] if ids[w][1] else [len(packed) - 1]
+            packed.append(ids[w][1:])
+            bad += [] if ids[w][0] else [len(packed) - 1]
     ends = np.cumsum([len(x) for x in packed], dtype=np.int64) // array(pieces.code).itemsize
     return pieces, tokens, codes, len(packed), b"".join(packed), ends, frozenset(bad)
 
@@ -486,7 +501,7 @@ def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), head: int =
     spark = docs.sparkSession
     pieces = Pieces(path)
     shared = spark.sparkContext.broadcast(pieces)
-    judged = "word string, ids binary, good boolean"
+    judged = "word string, ids binary"
 
     known = spark.sparkContext.broadcast(_head(docs.select("doc_id", "text"), pieces, shared, head))
 
@@ -500,10 +515,10 @@ def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), head: int =
     long_by = F.char_length("word") - LONGEST
     short, wide = words.where(F.col("n") * (1 - long_by) > 0), words.where(F.col("n") * long_by > 0)
     answers = [
-        sent.join(found.mapInArrow(_judged(shared), judged), "word").select("uid", "k", "ids", "good")
+        sent.join(found.mapInArrow(_judged(shared), judged), "word").select("uid", "k", "ids")
         for found in (encode_words(short, pieces), encode_long_words(wide, pieces, shared))
     ]
-    own = answers[0].unionByName(answers[1]).groupBy("uid").agg(F.collect_list(F.struct("k", "ids", "good")).alias("got"))
+    own = answers[0].unionByName(answers[1]).groupBy("uid").agg(F.collect_list(F.struct("k", "ids")).alias("got"))
     templates = rows.mapInArrow(_templates(known), StructType([*kept, *StructType.fromDDL("body binary, same boolean").fields]))
     paired = templates.join(own, "uid", "left").select("body", "same", F.coalesce("got", F.expr("array()")).alias("got"), "doc_id", *named)
     fields = StructType.fromDDL("doc_id long, ids array<int>, n_pieces long, round_trip boolean").fields
