@@ -38,7 +38,7 @@ from .common import table
 #: Characters of a word that the bits of the fold's state can hold, and starts of a chunk of longer words.
 LONGEST, CHUNK = 62, 64
 #: Words in the head at most (and half as many space-delimited tokens), and documents of the sample it comes from, about.
-HEAD, HEAD_DOCS = 262_144, 20_000
+HEAD, HEAD_DOCS = 196_608, 20_000
 WORD = regex.compile(r" *\p{L}+| *[^\p{L} ]+| +")
 
 
@@ -197,8 +197,8 @@ def _edge_table(words: DataFrame, pieces: Pieces, columns: str) -> DataFrame:
     return F.broadcast(lookup.selectExpr("sub", columns))
 
 
-def encode_words(words: DataFrame, pieces: Pieces, *more: str) -> DataFrame:
-    """(word, ids, more) of words(word, more): distinct, not empty and of at most LONGEST characters.
+def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, ids) of words(word): distinct, not empty and of at most LONGEST characters.
 
     The chain keeps the rows of a word where the grouping of `words` by word has put them, so it shuffles nothing.
     """
@@ -206,17 +206,17 @@ def encode_words(words: DataFrame, pieces: Pieces, *more: str) -> DataFrame:
         raise ValueError("byte pieces are not in order")
     lookup = _edge_table(words, pieces, f"shiftleft(place, {ORDER_AT}) | id as code")
     n = F.char_length("word")
-    starts = words.select("word", *more, F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     # a word of ASCII needs no spans of one character, but the first, which keeps its row
     least = F.when((F.col("s") > 0) & (F.octet_length("word") == n), F.least(F.col("s") + 2, n)).otherwise(F.col("s") + 1)
-    spans = starts.select("word", *more, "s", F.explode(F.sequence(least, F.least(n, F.col("s") + pieces.longest))).alias("e"))
+    spans = starts.select("word", "s", F.explode(F.sequence(least, F.least(n, F.col("s") + pieces.longest))).alias("e"))
     s, e = F.col("s").cast("long"), F.col("e").cast("long")
     subs = spans.select(
-        "word", *more, F.expr("substring(word, s + 1, e - s)").alias("sub"), ((F.col("s") == 0) & (F.col("e") == 1)).alias("head"),
+        "word", F.expr("substring(word, s + 1, e - s)").alias("sub"), ((F.col("s") == 0) & (F.col("e") == 1)).alias("head"),
         (_shift("shiftleft", F.lit(PLACE) - s, START_AT) + _shift("shiftleft", e, END_AT)).alias("span"),
     )
     edges = subs.join(lookup, "sub", "left").where("code is not null or head")  # one row a word stays whatever matches
-    grouped = edges.groupBy("word", *more).agg(F.collect_list(F.col("code") + F.col("span")).alias("edges"))
+    grouped = edges.groupBy("word").agg(F.collect_list(F.col("code") + F.col("span")).alias("edges"))
 
     def mask(x: Column) -> Column:
         a, b = _bit(_start(x)), _bit(_end(x))
@@ -225,9 +225,9 @@ def encode_words(words: DataFrame, pieces: Pieces, *more: str) -> DataFrame:
             x.bitwiseAND(F.lit(ID)).cast("int").alias("id"),
         )
 
-    masked = grouped.select("word", *more, F.transform(F.sort_array("edges"), mask).alias("masks"))
-    folded = masked.select("word", *more, "masks", fold_edges(F.col("masks"), F.col("word")).alias("bounds"))
-    return folded.select("word", chosen_ids(F.col("masks"), F.col("bounds"), F.col("word"), pieces).alias("ids"), *more)
+    masked = grouped.select("word", F.transform(F.sort_array("edges"), mask).alias("masks"))
+    folded = masked.select("word", "masks", fold_edges(F.col("masks"), F.col("word")).alias("bounds"))
+    return folded.select("word", chosen_ids(F.col("masks"), F.col("bounds"), F.col("word"), pieces).alias("ids"))
 
 
 def fold_in_arrays(word: str, edges: list[tuple], pieces: Pieces) -> list[int]:
@@ -463,26 +463,29 @@ def _head(texts: DataFrame, pieces: Pieces, shared, most: int) -> tuple:
     top = lambda whole, k: counted.where(F.col("whole") == whole).orderBy(F.desc("n"), "token").limit(k).select("token").toArrow()["token"].to_pylist()
     split = lambda t: pieces.words(t) if t else [" "]
     frequent = [t for t in top(True, most // 2) if max(map(len, split(t))) <= LONGEST]
-    words = list(dict.fromkeys([*(w for t in frequent for w in split(t)), *top(False, most)]))
-    rows = texts.sparkSession.createDataFrame(pa.table({"word": pa.array(words, pa.string())}))
-    got = encode_words(rows.repartition(8, "word"), pieces).mapInArrow(_judged(shared), "word string, ids binary").toArrow()
-    ids = dict(zip(got["word"].to_pylist(), got["ids"].to_pylist()))
-    tokens, codes, packed, bad = {}, {}, [], []
-    del got
-    for t in frequent:  # frequent tokens get small codes
-        ws = split(t)
-        tokens[t] = len(packed)
-        if len(ws) == 1:
-            codes[ws[0]] = len(packed)
-        packed.append(b"".join(ids[w][1:] for w in ws))
-        bad += [] if all(ids[w][0] for w in ws) else [len(packed) - 1]
-    for w in words:
-        if w not in codes:
-            codes[w] = len(packed)
-            packed.append(ids[w][1:])
-            bad += [] if ids[w][0] else [len(packed) - 1]
-    ends = np.cumsum([len(x) for x in packed], dtype=np.int64) // array(pieces.code).itemsize
-    return pieces, tokens, codes, len(packed), b"".join(packed), ends, frozenset(bad)
+    words = dict.fromkeys(w for t in frequent for w in split(t))
+    words.update(dict.fromkeys(top(False, most)))
+    rows = texts.sparkSession.createDataFrame(pa.table({"word": pa.array(list(words), pa.string())}))
+    del words
+    got = encode_words(rows.repartition(8, "word"), pieces).mapInArrow(_judged(shared), "word string, ids binary").toArrow().combine_chunks()
+    first = len(frequent)  # frequent tokens get small codes, words follow
+    codes = dict(zip(got["word"].to_pylist(), range(first, first + got.num_rows)))
+    ids = got["ids"]
+    flat, ends, bad = bytearray(), array("q"), []
+
+    def add(parts: list[bytes]) -> None:
+        if not all(x[0] for x in parts):
+            bad.append(len(ends))
+        for x in parts:
+            flat.extend(x[1:])
+        ends.append(len(flat) // array(pieces.code).itemsize)
+
+    for t in frequent:
+        add([ids[codes[w] - first].as_py() for w in split(t)])
+    for k in range(got.num_rows):
+        add([ids[k].as_py()])
+    tokens = dict(zip(frequent, range(first)))
+    return pieces, tokens, codes, len(ends), bytes(flat), np.array(ends, dtype=np.int64), frozenset(bad)
 
 
 def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), head: int = HEAD) -> DataFrame:
