@@ -27,6 +27,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -273,18 +274,15 @@ def encode_long_words(words: DataFrame, pieces: Pieces, shared) -> DataFrame:
     return keyed.join(edges, "key", "left").select("word", "edges").mapInArrow(_fold_long(shared), "word string, ids array<int>")
 
 
-def _judged(shared):
-    """(word, ids): a byte that tells whether decoding gives the word back, and the ids as bytes."""
+def packed_ids(ids: Column, pieces: Pieces) -> Column:
+    """An array of ids as bytes, each as wide as the vocabulary needs; a column expression, so rows stay where they are."""
+    width = array(pieces.code).itemsize
+    every = F.lit(array(pieces.code, range(len(pieces.names))).tobytes())
+    return F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, F.substring(every, i * width + 1, F.lit(width))))
 
-    def run(batches):
-        pieces: Pieces = shared.value
-        for batch in batches:
-            words, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = [decode_ids(x, pieces.names, pieces.byte_of) == w for w, x in zip(words, ids)]
-            packed = [bytes([g]) + array(pieces.code, x).tobytes() for g, x in zip(good, ids)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["word", "ids"])
 
-    return run
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
 
 
 def _frequent(shared):
@@ -360,7 +358,7 @@ class Coder:
 
 
 def _asked(known):
-    """(uid, k, word): the words of each row that are not in the head, each once."""
+    """(uid, k, word): the words of each row that are not in the head, each once and numbered from 0."""
 
     def run(batches):
         coder = Coder(known.value)
@@ -371,45 +369,54 @@ def _asked(known):
                     asked = coder.asked(text)
                     uid += [u] * len(asked)
                     words += asked
-                    ks += asked.values()
+                    ks += [k - coder.first for k in asked.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(ks, pa.int32()), pa.array(words, pa.string())], ["uid", "k", "word"])
 
     return run
 
 
 def _templates(known):
-    """Each row's codes, packed."""
+    """Each row's codes, packed, and a digest of its text behind the leading space."""
 
     def run(batches):
-        coder, bad = Coder(known.value), known.value[6]
+        coder = Coder(known.value)
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
-                bodies, same = [], []
+                bodies, digests = [], []
                 for text in part.column(1).to_pylist():
                     codes = coder.codes(text)
                     planes = np.array(codes, dtype="<u4").view(np.uint8).reshape(-1, 4).T  # bytes of one weight pack well
                     bodies.append(pack(planes.tobytes()))
-                    same.append(None if text is None else "▁" not in text and (not bad or bad.isdisjoint(codes)))
+                    digests.append(None if text is None else _digest(" " + text if text else ""))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *part.columns[2:], pa.array(bodies, pa.binary()), pa.array(same, pa.bool_())],
-                    [part.schema.names[0], *part.schema.names[2:], "body", "same"],
+                    [part.column(0), *part.columns[2:], pa.array(bodies, pa.binary()), pa.array(digests, pa.uint64()).view(pa.int64())],
+                    [part.schema.names[0], *part.schema.names[2:], "body", "digest"],
                 )
 
     return run
 
 
 def _filled(known):
-    """Rows (body, same, got, doc_id, ...) with the ids of their codes: those of the head, and those in got."""
+    """Rows (body, digest, got, doc_id, ...) with the ids of their codes: those of the head, and those in got.
+
+    An entry of got is the number of a word among those its row looks up, in four bytes, and the word's ids.
+    """
 
     def run(batches):
-        pieces, _, _, head, flat, ends, _ = known.value
+        pieces, _, _, head, flat, ends = known.value
         kind = np.dtype(f"u{array(pieces.code).itemsize}")
         own, begin = np.frombuffer(flat, dtype=kind), np.concatenate([[0], ends[:-1]]).astype(np.int64)
         size = (ends - begin).astype(np.int64)
         unpack = zstandard.ZstdDecompressor().decompress
-        unit = kind.itemsize
+        unit, name_of = kind.itemsize, pieces.names.__getitem__
+        in_bytes = np.zeros(len(pieces.names), dtype=bool)
+        in_bytes[list(pieces.byte_of)] = True
+
+        def text_of(ids: np.ndarray) -> str:
+            return decode_ids(ids.tolist(), pieces.names, pieces.byte_of) if in_bytes[ids].any() else "".join(map(name_of, ids.tolist()))
+
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
@@ -424,11 +431,11 @@ def _filled(known):
                 asked = np.array([max(0, int(x.max()) + 1 - head) if len(x) else 0 for x in raw])
                 if not np.array_equal(asked, counts):
                     raise ValueError("words of a row were lost, or docs gave other rows when read again")
-                packed = found.field(1).to_pylist()
-                good = np.array([x[0] == 1 for x in packed], dtype=bool)
-                packed = [x[1:] for x in packed]
+                entries = found.to_pylist()
+                packed = [x[4:] for x in entries]
                 more = np.array([len(x) // unit for x in packed], dtype=np.int64)
-                place = (owner << 32) + found.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                numbers = np.frombuffer(b"".join([x[:4] for x in entries]), dtype=">u4").astype(np.int64)
+                place = (owner << 32) + numbers + head
                 order = np.argsort(place)
                 source = np.concatenate([own, np.frombuffer(b"".join(packed), dtype=kind)]).astype(np.int32)
                 first = len(own) + np.cumsum(more) - more
@@ -439,10 +446,9 @@ def _filled(known):
                 start[~known_], n[~known_] = first[at], more[at]
                 ids = source[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 pieces_of = np.bincount(row, weights=n, minlength=len(raw)).astype(np.int64)
-                broken = np.zeros(len(raw), dtype=bool)
-                broken[owner[~good]] = True
-                same = [x and not b for x, b in zip(part.column(1).to_pylist(), broken.tolist())]
-                offsets = pa.array(np.concatenate([[0], np.cumsum(pieces_of)]), pa.int32())
+                bounds = np.concatenate([[0], np.cumsum(pieces_of)])
+                same = [None if d is None else _digest(text_of(ids[a:b])) == d % (1 << 64) for d, a, b in zip(part.column(1).to_pylist(), bounds, bounds[1:])]
+                offsets = pa.array(bounds, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(3), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(pieces_of), pa.array(same, pa.bool_()), *part.columns[4:]],
                     ["doc_id", "ids", "n_pieces", "round_trip", *part.schema.names[4:]],
@@ -452,7 +458,7 @@ def _filled(known):
 
 
 def _head(texts: DataFrame, pieces: Pieces, shared, most: int) -> tuple:
-    """(pieces, code by token, code by word, codes, ids one after another, their ends, codes that don't decode back).
+    """(pieces, code by token, code by word, codes, ids one after another, their ends).
 
     The words most frequent in a sample of texts(doc_id, text), at most `most`, half as many tokens, and all words of
     these, which the lattice encodes.
@@ -467,17 +473,16 @@ def _head(texts: DataFrame, pieces: Pieces, shared, most: int) -> tuple:
     words.update(dict.fromkeys(top(False, most)))
     rows = texts.sparkSession.createDataFrame(pa.table({"word": pa.array(list(words), pa.string())}))
     del words
-    got = encode_words(rows.repartition(8, "word"), pieces).mapInArrow(_judged(shared), "word string, ids binary").toArrow().combine_chunks()
+    coded = encode_words(rows.repartition(8, "word"), pieces)
+    got = coded.select("word", packed_ids(F.col("ids"), pieces).alias("ids")).toArrow().combine_chunks()
     first = len(frequent)  # frequent tokens get small codes, words follow
     codes = dict(zip(got["word"].to_pylist(), range(first, first + got.num_rows)))
     ids = got["ids"]
-    flat, ends, bad = bytearray(), array("q"), []
+    flat, ends = bytearray(), array("q")
 
     def add(parts: list[bytes]) -> None:
-        if not all(x[0] for x in parts):
-            bad.append(len(ends))
         for x in parts:
-            flat.extend(x[1:])
+            flat.extend(x)
         ends.append(len(flat) // array(pieces.code).itemsize)
 
     for t in frequent:
@@ -485,7 +490,7 @@ def _head(texts: DataFrame, pieces: Pieces, shared, most: int) -> tuple:
     for k in range(got.num_rows):
         add([ids[k].as_py()])
     tokens = dict(zip(frequent, range(first)))
-    return pieces, tokens, codes, len(ends), bytes(flat), np.array(ends, dtype=np.int64), frozenset(bad)
+    return pieces, tokens, codes, len(ends), bytes(flat), np.array(ends, dtype=np.int64)
 
 
 def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), head: int = HEAD) -> DataFrame:
@@ -504,7 +509,6 @@ def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), head: int =
     spark = docs.sparkSession
     pieces = Pieces(path)
     shared = spark.sparkContext.broadcast(pieces)
-    judged = "word string, ids binary"
 
     known = spark.sparkContext.broadcast(_head(docs.select("doc_id", "text"), pieces, shared, head))
 
@@ -517,13 +521,14 @@ def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), head: int =
     words = sent.groupBy("word").agg(F.count_if(F.col("uid").isNotNull() & F.col("k").isNotNull()).alias("n"))
     long_by = F.char_length("word") - LONGEST
     short, wide = words.where(F.col("n") * (1 - long_by) > 0), words.where(F.col("n") * long_by > 0)
+    number = F.unhex(F.lpad(F.hex("k"), 8, "0"))
     answers = [
-        sent.join(found.mapInArrow(_judged(shared), judged), "word").select("uid", "k", "ids")
+        sent.join(found.select("word", packed_ids(F.col("ids"), pieces).alias("ids")), "word").select("uid", F.concat(number, "ids").alias("got"))
         for found in (encode_words(short, pieces), encode_long_words(wide, pieces, shared))
     ]
-    own = answers[0].unionByName(answers[1]).groupBy("uid").agg(F.collect_list(F.struct("k", "ids")).alias("got"))
-    templates = rows.mapInArrow(_templates(known), StructType([*kept, *StructType.fromDDL("body binary, same boolean").fields]))
-    paired = templates.join(own, "uid", "left").select("body", "same", F.coalesce("got", F.expr("array()")).alias("got"), "doc_id", *named)
+    own = answers[0].unionByName(answers[1]).groupBy("uid").agg(F.collect_list("got").alias("got"))
+    templates = rows.mapInArrow(_templates(known), StructType([*kept, *StructType.fromDDL("body binary, digest long").fields]))
+    paired = templates.join(own, "uid", "left").select("body", "digest", F.coalesce("got", F.array().cast("array<binary>")).alias("got"), "doc_id", *named)
     fields = StructType.fromDDL("doc_id long, ids array<int>, n_pieces long, round_trip boolean").fields
     out = paired.mapInArrow(_filled(known), StructType([*fields, *[StructField(a, rows.schema[a].dataType) for a in named]]))
     return out.select("doc_id", "ids", "n_pieces", "round_trip", *[F.col(a).alias(c) for a, c in named.items()])
