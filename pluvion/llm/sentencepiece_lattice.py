@@ -285,22 +285,26 @@ def _digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
 
 
-def _frequent(shared):
-    """(token, n, whole): space-delimited tokens of a partition of the sample (whole), and their words."""
+def _frequent(batches):
+    """(token, n): space-delimited tokens of a partition of the sample."""
+    tokens = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            tokens.update((text or "").replace("▁", " ").split(" "))
+    yield pa.RecordBatch.from_arrays([pa.array(list(tokens), pa.string()), pa.array(list(tokens.values()), pa.int64())], ["token", "n"])
+
+
+def _words_of(shared):
+    """(token, n): the words of counted tokens, with the tokens' counts."""
 
     def run(batches):
-        pieces, tokens, words = shared.value, Counter(), Counter()
+        pieces, words = shared.value, Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens.update((text or "").replace("▁", " ").split(" "))
-        for token, n in tokens.items():
-            for word in pieces.words(token) if token else [" "]:
-                words[word] += n
-        for counts, whole in ((tokens, True), (words, False)):
-            names = [x for x in counts if whole or len(x) <= LONGEST]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([counts[x] for x in names], pa.int64()), pa.array([whole] * len(names), pa.bool_())], ["token", "n", "whole"]
-            )
+            for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for word in pieces.words(token) if token else [" "]:
+                    words[word] += n
+        names = [w for w in words if len(w) <= LONGEST]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([words[w] for w in names], pa.int64())], ["token", "n"])
 
     return run
 
@@ -464,13 +468,15 @@ def _head(texts: DataFrame, pieces: Pieces, shared, most: int) -> tuple:
     these, which the lattice encodes.
     """
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, HEAD_DOCS / max(texts.count(), 1)) * (1 << 30))
-    found = texts.where(share).select("text").mapInArrow(_frequent(shared), "token string, n long, whole boolean")
-    counted = stored(found.groupBy("whole", "token").agg(F.sum("n").alias("n")))
-    top = lambda whole, k: counted.where(F.col("whole") == whole).orderBy(F.desc("n"), "token").limit(k).select("token").toArrow()["token"].to_pylist()
+    found = texts.where(share).select("text").mapInArrow(_frequent, "token string, n long")
+    tokens = stored(found.groupBy("token").agg(F.sum("n").alias("n")))
+    # tokens seen once hardly add to a word's count and are most of all
+    words_seen = tokens.where("n > 1").mapInArrow(_words_of(shared), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = lambda counted, k: counted.orderBy(F.desc("n"), "token").limit(k).select("token").toArrow()["token"].to_pylist()
     split = lambda t: pieces.words(t) if t else [" "]
-    frequent = [t for t in top(True, most // 2) if max(map(len, split(t))) <= LONGEST]
+    frequent = [t for t in top(tokens, most // 2) if max(map(len, split(t))) <= LONGEST]
     words = dict.fromkeys(w for t in frequent for w in split(t))
-    words.update(dict.fromkeys(top(False, most)))
+    words.update(dict.fromkeys(top(words_seen, most)))
     rows = texts.sparkSession.createDataFrame(pa.table({"word": pa.array(list(words), pa.string())}))
     del words
     coded = encode_words(rows.repartition(8, "word"), pieces)
