@@ -470,8 +470,7 @@ def _head(texts: DataFrame, pieces: Pieces, shared, most: int) -> tuple:
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, HEAD_DOCS / max(texts.count(), 1)) * (1 << 30))
     found = texts.where(share).select("text").mapInArrow(_frequent, "token string, n long")
     tokens = stored(found.groupBy("token").agg(F.sum("n").alias("n")))
-    # tokens seen once hardly add to a word's count and are most of all
-    words_seen = tokens.where("n > 1").mapInArrow(_words_of(shared), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    words_seen = tokens.mapInArrow(_words_of(shared), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = lambda counted, k: counted.orderBy(F.desc("n"), "token").limit(k).select("token").toArrow()["token"].to_pylist()
     split = lambda t: pieces.words(t) if t else [" "]
     frequent = [t for t in top(tokens, most // 2) if max(map(len, split(t))) <= LONGEST]
