@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.components import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -91,3 +93,17 @@ def group_bounds(*keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys begins, and the end."""
     change = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     return np.concatenate([[0], np.flatnonzero(change) + 1, [len(keys[0])]])
+
+
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with the column `name`: each row's place, from 0, in the order of the columns `order` (nulls first).
+
+    Rows are dealt by range, sorted and written with their place inside their partition; the counts of the partitions give
+    each its first place. Rows that are equal in `order` take places in any order and spread over partitions too.
+    """
+    placed = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order, "_tie").sortWithinPartitions(*order)
+    placed = stored(placed.drop("_tie").withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
+    first = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_first"))
+    inside = F.col("_at") - F.shiftleft("_part", 33)
+    return placed.join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + inside).drop("_part", "_at", "_first")
