@@ -4,9 +4,9 @@ They need XXH64 or CRC32, trained models, tokenizer files, HTML parsing or sched
 brute-force version or a library instead.
 """
 
-from . import ann, conversations, embedding_dedup, html_text, language_id, merkle, mixing, sentencepiece_lattice, sharding, simhash, token_counts, toxicity
+from . import ann, conversations, embedding_dedup, html_text, language_id, merkle, mixing, sentencepiece_lattice, sharding, simhash, suffix_dedup, token_counts, toxicity
 
-MODULES = (language_id, ann, token_counts, toxicity, mixing, html_text, simhash, embedding_dedup, sentencepiece_lattice, sharding, conversations, merkle)
+MODULES = (language_id, ann, token_counts, toxicity, mixing, html_text, simhash, embedding_dedup, sentencepiece_lattice, sharding, conversations, merkle, suffix_dedup)
 
 
 def queries() -> dict:
