@@ -133,3 +133,38 @@ def mean_preserving_clip(df: DataFrame, key: str, value: str, lo: float, hi: flo
         mean = F.avg(value).over(per)
         out = out.withColumn(value, F.least(F.greatest(F.when(mean > 0, F.col(value) / mean).otherwise(1.0), F.lit(lo)), F.lit(hi)))
     return out
+
+
+def scaled_clip(df: DataFrame, key: str, value: str, lo: float, hi: float) -> DataFrame:
+    """Multipliers min(max(s x, lo), hi) of mean 1 per key, s found exactly; x not negative, lo below 1 and hi above it.
+
+    The mean of the clipped values rises with s along straight pieces that bend where s x meets lo or hi. The bends of a key
+    are sorted once; running counts and sums behind each give the piece's line and so the s at which it reaches 1. Where a
+    mean of 1 can't be reached (too many zeros) values take the bound that comes nearest; null and negative values count as
+    0, and where all are 0 all become 1.
+    """
+    x = F.greatest(F.coalesce(F.col(value), F.lit(0.0)), F.lit(0.0))
+    rows = df.withColumn(value, x)
+    bends = rows.where(F.col(value) > 0).select(
+        F.col(key).alias("_key"), F.col(value).alias("_x"), F.inline(F.array(
+            F.struct((lo / F.col(value)).alias("_at"), F.lit(-1).alias("_low"), F.lit(0).alias("_high"), F.col(value).alias("_mid")),
+            F.struct((hi / F.col(value)).alias("_at"), F.lit(0).alias("_low"), F.lit(1).alias("_high"), (-F.col(value)).alias("_mid")),
+        )),
+    )
+    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"), F.count(F.when(F.col(value) > 0, 1)).alias("_pos"))
+    upto = Window.partitionBy("_key").orderBy("_at", "_low", "_x").rowsBetween(Window.unboundedPreceding, 0)
+    onward = Window.partitionBy("_key").orderBy("_at", "_low", "_x")
+    lines = bends.join(sizes, "_key").select(
+        "_key", "_at", "_n", (F.col("_n") + F.sum("_low").over(upto)).alias("_l"), F.sum("_high").over(upto).alias("_h"),
+        F.sum("_mid").over(upto).alias("_m"), F.lead("_at").over(onward).alias("_to"),
+    )
+    open_ = F.col("_n") - F.col("_l") - F.col("_h") > 0  # some value lies between the bounds
+    s = F.when(open_, (F.col("_n") - F.col("_l") * lo - F.col("_h") * hi) / F.col("_m"))
+    inside = (s >= F.col("_at") * (1 - 1e-12)) & (F.col("_to").isNull() | (s <= F.col("_to") * (1 + 1e-12)))
+    scales = lines.withColumn("_s", s).where(inside).groupBy("_key").agg(F.min("_s").alias("_s"))
+    met = sizes.join(scales, "_key", "left")
+    joined = rows.join(met, F.col(key).eqNullSafe(F.col("_key")), "left")
+    cut_ = F.least(F.greatest(F.col("_s") * F.col(value), F.lit(float(lo))), F.lit(float(hi)))
+    far = F.when(F.col(value) > 0, float(hi)).otherwise(float(lo))
+    out = F.when(F.col("_pos") == 0, 1.0).when(F.col("_s").isNotNull(), cut_).otherwise(far)
+    return joined.withColumn(value, out).drop("_key", "_n", "_pos", "_s")

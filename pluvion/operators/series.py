@@ -87,6 +87,39 @@ def block_spans(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def blocks_holding(requests: DataFrame, record: DataFrame, keys: Sequence[str], width: int = 168) -> DataFrame:
+    """requests(keys, t, ...) with block_id, first_t, last_t and place: the stored block of `record` that holds each stamp.
+
+    place is `block`, or `gap` for a stamp between blocks and `outside` for one before, after or without any (the three are
+    null then). Spans and stamps meet in buckets of `width` steps: a stamp takes the last span that begins in its bucket up
+    to it, or else the last one of the buckets before, which a table of one row a bucket carries forward. Null stamps are
+    outside; requests may repeat, and keep all their columns.
+    """
+    spans = block_spans(record, keys)
+    names = [c for c in requests.columns if c not in keys]
+    asked = requests.select(*keys, F.col("t").alias("_at"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    stamp = F.struct("block_id", "first_t", "last_t")
+    begins = spans.select(*keys, F.col("first_t").alias("_at"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), stamp.alias("_span"), F.lit(0).alias("_kind"))
+    stamps = asked.select("*", F.lit(None).cast(begins.schema["_span"].dataType).alias("_span"), F.lit(1).alias("_kind"))
+    mixed = begins.unionByName(stamps).withColumn("_bucket", F.floor(F.col("_at") / width))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    here = mixed.withColumn("_last", F.last("_span", True).over(inside))
+    ends = mixed.groupBy(*keys, "_bucket").agg(F.max_by("_span", F.when(F.col("_kind") == 0, F.col("_at"))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), F.last("_end", True).over(before).alias("_carried"))
+    last = spans.groupBy(*keys).agg(F.max("last_t").alias("_final")).select(*[F.col(k).alias(f"_f{i}") for i, k in enumerate(keys)], "_final")
+    on = F.col("_bucket").eqNullSafe(F.col("_b"))
+    whose = F.lit(True)
+    for i, k in enumerate(keys):
+        on, whose = on & F.col(k).eqNullSafe(F.col(f"_k{i}")), whose & F.col(k).eqNullSafe(F.col(f"_f{i}"))
+    span = F.coalesce("_last", "_carried")
+    met = here.where("_kind = 1").join(carried, on, "left").join(last, whose, "left").withColumn("_s", span)
+    held = F.col("_at").between(F.col("_s.first_t"), F.col("_s.last_t"))
+    place = F.when(held, "block").when(F.col("_s").isNotNull() & (F.col("_at") < F.col("_final")), "gap").otherwise("outside")
+    fields = [F.when(held, F.col(f"_s.{c}")).alias(c) for c in ("block_id", "first_t", "last_t")]
+    return met.select(*keys, "_row.*", *fields, place.alias("place"))
+
+
 def long_runs(df: DataFrame, keys: Sequence[str], flag: str, longer_than: int) -> DataFrame:
     """df with in_long_run: flagged rows in runs of more than `longer_than` rows; a gap in time ends a run."""
     order = Window.partitionBy(*keys).orderBy("t")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bbox_area_km2, fallback_elevation, grade, grown_extent, haversine_m, utm_zone
+from ..operators import contributing as C
 from ..operators import features as X
 from ..operators import graph as G
 from ..operators import labels as L
@@ -150,11 +151,17 @@ def upstream_shares(spark, d):
     return G.upstream_operator(G.outflow_shares(A.edges(spark, d), points, 1.1), points)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {SHARES}, h AS (SELECT n, sum(length) * 10 AS area FROM (SELECT a AS n, length FROM seg UNION ALL SELECT b, length FROM seg) GROUP BY n), "
+    "ar AS MATERIALIZED (SELECT node_id, greatest(coalesce(area, 1.0), 1.0) AS area FROM nodes LEFT JOIN h ON n = node_id), sm AS MATERIALIZED (SELECT u, v, share FROM sh), "
+    "term AS (SELECT 0 AS k, node_id AS i, area AS w FROM ar UNION ALL SELECT k + 1, v, sum(w * share) FROM term JOIN sm ON u = i GROUP BY k, v) "
+    "SELECT i, round(sum(w), 3) AS area FROM term GROUP BY i"
+)
 def contributing_areas(spark, d):
+    """Every node's own area and what upstream areas send it, pushed down layer by layer."""
     points, links = A.nodes(spark, d), A.edges(spark, d)
-    upstream = G.upstream_operator(G.outflow_shares(links, points, 1.1), points)
-    return G.contributing_operator(upstream, G.catchment_area(points, links, 20.0))[1]
+    out = C.contributing_areas(G.outflow_shares(links, points, 1.1), G.catchment_area(points, links, 20.0))
+    return out.select("i", F.round("area", 3).alias("area"))
 
 
 @query()

@@ -89,3 +89,45 @@ def stream_alerts(spark, d):
     rows = source(spark, d).select("event_id", F.col("station").alias("node_id"), (F.col("mm") / 300).alias("p"))
     out = L.alerts(rows, A.nodes(spark, d).select("node_id", "elevation"), 0.9)
     return landed(out).select("event_id", "node_id", F.round("p", 6).alias("p"), "elevation")
+
+
+LEAD = 3
+FORECAST = f"fc AS (SELECT event_id, user_id AS station, date_trunc('hour', ts) + INTERVAL {LEAD} HOUR AS valid, value * 1.1 AS forecast FROM events WHERE event_type = 'signup')"
+VALID = "(datediff('day', DATE '1970-01-01', valid::DATE)*24 + hour(valid))::BIGINT"
+
+
+@query(
+    f"WITH {LAST}, {FORECAST}, m AS (SELECT fc.event_id, fc.station, valid, forecast, value AS observed FROM fc JOIN events e ON e.user_id = fc.station AND e.ts >= valid AND e.ts < valid + INTERVAL 1 HOUR), "
+    f"u AS (SELECT event_id, station, valid, forecast, NULL::DOUBLE AS observed FROM fc, l WHERE valid + INTERVAL 1 HOUR <= mark AND event_id NOT IN (SELECT event_id FROM m)) "
+    f"SELECT station, {VALID} AS valid_hour, {LEAD}::INTEGER AS lead_h, round(forecast, 4) AS forecast, round(observed, 4) AS observed FROM (SELECT * FROM m UNION ALL SELECT * FROM u)"
+)
+def stream_settled_forecasts(spark, d):
+    """Forecasts made by one kind of event, met by the readings of the hour they are for; unmet ones once that has closed."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
+    made = rows.where("event_type = 'signup'").select(
+        F.col("user_id").alias("station"), (F.date_trunc("hour", F.col("ts").cast("timestamp")) + F.expr(f"interval {LEAD} hours")).alias("valid_ts"),
+        F.lit(LEAD).alias("lead_h"), (F.col("value") * 1.1).alias("forecast"),
+    )
+    out = landed(L.settled_forecasts(made, source(spark, d).select("station", "ts", "mm")))
+    return out.select("station", _hour(F.col("valid_ts")).alias("valid_hour"), "lead_h", F.round("forecast", 4).alias("forecast"), F.round("observed", 4).alias("observed"))
+
+
+@query(
+    "SELECT event_id, CASE WHEN ts < (SELECT max(ts) - INTERVAL 5 DAY FROM events) THEN round(value, 4) ELSE floor(value) END AS mm, "
+    "CASE WHEN ts < (SELECT max(ts) - INTERVAL 5 DAY FROM events) THEN 0 ELSE 1 END AS rank, strftime(ts, '%Y-%m') AS part FROM events"
+)
+def stream_restated_readings(spark, d):
+    """Readings after several triggers: provisional ones first, then the archive's, which ends five days before the last."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = A.read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value", L.part_of(F.col("ts")).alias("part"))
+    last = rows.agg((F.max("ts") - F.expr("interval 5 days")).alias("last"))
+    provisional = rows.select("event_id", F.floor("value").cast("double").alias("mm"), F.lit(1).alias("rank"), "part")
+    archive = rows.join(F.broadcast(last), on=F.col("ts") < F.col("last")).select("event_id", F.round("value", 4).alias("mm"), F.lit(0).alias("rank"), "part")
+    for turn, piece in enumerate((provisional, archive)):  # a trigger takes one file; the first files are the provisional ones
+        piece.repartition(2, "event_id").write.mode("append").option("compression", "none").parquet(f"{at}/landing/turn={turn}")
+    stream = spark.readStream.schema("event_id long, mm double, rank int, part string").option("maxFilesPerTrigger", 1).parquet(f"{at}/landing/*")
+    write = L.restate(f"{at}/restated", ["event_id"], "rank")
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return L.read_restated(spark, f"{at}/restated").select("event_id", "mm", "rank", "part")

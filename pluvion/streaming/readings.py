@@ -123,6 +123,23 @@ def match_forecasts(forecasts: DataFrame, observations: DataFrame, within: str =
     ).select(F.col("f.station"), "valid_ts", "lead_h", "forecast", F.col("o.mm").alias("observed"))
 
 
+def settled_forecasts(forecasts: DataFrame, observations: DataFrame, late: str = "2 hours") -> DataFrame:
+    """Forecasts (station, valid_ts, lead_h, forecast) with each observation of their hour, or none once it has closed.
+
+    Both streams carry a watermark, and the bound on the observation's stamp lets Spark drop what can meet nothing any more:
+    a forecast leaves the state, unmatched with a null, when the watermark has passed its hour. Rows later than the
+    watermark are dropped.
+    """
+    f = forecasts.withWatermark("valid_ts", late).alias("f")
+    o = observations.withWatermark("ts", late).alias("o")
+    on = (
+        (F.col("f.station") == F.col("o.station"))
+        & (F.col("o.ts") >= F.col("f.valid_ts"))
+        & (F.col("o.ts") < F.col("f.valid_ts") + F.expr("interval 1 hour"))
+    )
+    return f.join(o, on, "left").select(F.col("f.station"), "valid_ts", "lead_h", "forecast", "ts", F.col("o.mm").alias("observed"))
+
+
 def run_to_memory(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """All that is there now, into a table in memory; for tests and small looks."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)

@@ -57,10 +57,16 @@ def test_best_threshold(nine):
     assert tuple(M.best_threshold(nine.where("y = 1"), "f1", [0.5]).first()) == (0.5, 0.0)
 
 
-def test_reliability(spark):
-    df = spark.createDataFrame(list(zip([0, 0, 1, 1, 1], [0.05, 0.15, 0.15, 0.95, 1.0])), "y int, p double")
-    got = M.reliability(df, 2).orderBy("bin").collect()
-    assert [r.n for r in got] == [3, 2] and got[0].observed == pytest.approx(1 / 3)
+def test_reliability_against_numpy(spark):
+    rng = np.random.default_rng(21)
+    p, y = np.round(rng.random(400), 3), rng.integers(0, 2, 400)
+    p[:3] = (0.0, 1.0, 0.4)
+    p = np.where((p >= 0.6) & (p < 0.8), 0.55, p)  # the fourth of five bins stays empty
+    got = M.reliability(spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y int, p double"), 5).orderBy("bin").collect()
+    bins = np.minimum((p * 5).astype(int), 4)
+    assert [r.n for r in got] == np.bincount(bins, minlength=5).tolist() and got[3].n == 0 and got[3].observed is None
+    for k in (0, 1, 2, 4):
+        assert (got[k].mean_p, got[k].observed) == pytest.approx((p[bins == k].mean(), y[bins == k].mean()))
 
 
 # graphs
@@ -79,16 +85,32 @@ def test_flow_accumulation(spark, elevation, want):
     assert [r.accumulation for r in got.orderBy("node_id").collect()] == want
 
 
-def test_shares_and_upstream(spark):
-    nodes = spark.createDataFrame([(0, 0.0, 0.0, 10.0), (1, 0.0, 0.0, 8.0), (2, 0.0, 0.0, 9.0), (3, 0.0, 0.0, 1.0)], "node_id long, lon double, lat double, elevation double")
-    edges = spark.createDataFrame([(0, 1, 100.0), (0, 2, 100.0), (1, 3, 100.0), (2, 3, 100.0)], "u long, v long, length double")
-    for k, want in ((1.0, (2 / 3, 1 / 3)), (0.0, (0.5, 0.5)), (2.0, (0.8, 0.2))):
-        got = {r.v: r.share for r in G.outflow_shares(edges, nodes, k).where("u = 0").collect()}
-        assert (got[1], got[2]) == pytest.approx(want)
-    up = {(r.i, r.j): r.w for r in G.upstream_operator(G.outflow_shares(edges, nodes, 1.0), nodes).collect()}
-    assert up[(3, 0)] == pytest.approx(1.0) and up[(1, 0)] == pytest.approx(2 / 3) and up[(2, 2)] == 1.0
-    rows, total = G.contributing_operator(G.upstream_operator(G.outflow_shares(edges, nodes, 1.0), nodes), G.catchment_area(nodes, edges, 10.0))
+def test_shares_and_upstream_against_matrices(spark):
+    rng = np.random.default_rng(22)
+    n = 14
+    height = rng.permutation(n) * 1.7
+    pairs = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, n, (30, 2)) if a != b})
+    length = {q: float(rng.integers(20, 90)) for q in pairs}
+    nodes = spark.createDataFrame([(i, 0.0, 0.0, float(h)) for i, h in enumerate(height)], "node_id long, lon double, lat double, elevation double")
+    edges = spark.createDataFrame([(*q, length[q]) for q in pairs], "u long, v long, length double")
+    routing = np.zeros((n, n))
+    for exponent in (0.7, 1.6):
+        routing[:] = 0
+        for a, b in pairs:
+            u, v = (a, b) if height[a] > height[b] else (b, a)
+            routing[v, u] = ((height[u] - height[v]) / length[a, b]) ** exponent
+        routing /= np.where(routing.sum(0) > 0, routing.sum(0), 1)
+        shares = G.outflow_shares(edges, nodes, exponent)
+        got = {(r.v, r.u): r.share for r in shares.collect()}
+        assert got == {(int(i), int(j)): pytest.approx(routing[i, j]) for i, j in np.argwhere(routing > 0)}
+    whole = np.linalg.inv(np.eye(n) - routing)
+    up = {(r.i, r.j): r.w for r in G.upstream_operator(shares, nodes).collect()}
+    assert up == {(int(i), int(j)): pytest.approx(whole[i, j]) for i, j in np.argwhere(whole > 1e-15)}
+    areas = G.catchment_area(nodes, edges, 10.0)
+    rows, total = G.contributing_operator(G.upstream_operator(shares, nodes), areas)
     assert all(r.s == pytest.approx(1.0) for r in rows.groupBy("i").agg(F.sum("share").alias("s")).collect())
+    area = np.array([r.area for r in areas.orderBy("node_id").collect()])
+    assert [r.area for r in total.orderBy("i").collect()] == pytest.approx(whole @ area)
 
 
 def test_components_against_union_find(spark):
@@ -166,13 +188,20 @@ def test_reports(spark):
 
 
 def test_report_hours_and_fusion(spark):
-    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 500.0, 0.0)], "node_id long, x double, y double")
-    reports = spark.createDataFrame([(0, 40, 10.0, 0.0, None)], "report long, t long, x double, y double, radius_m double")
-    hits = L.observed_labels(reports, nodes, 50.0, 3)
-    assert sorted((r.node_id, r.t) for r in hits.collect()) == [(1, t) for t in range(37, 44)]
-    labels = spark.createDataFrame([(40, 1, 0), (40, 2, 1), (90, 1, 0)], "t long, node_id long, y int")
-    for mode, want in (("simulated", [0, 1, 0]), ("observed", [1, 0, 0]), ("hybrid", [1, 1, 0])):
-        assert [r.y for r in L.fuse_labels(labels, hits, mode).orderBy("t", "node_id").collect()] == want
+    rng = np.random.default_rng(23)
+    at = rng.uniform(0, 900, (40, 2))
+    nodes = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "node_id long, x double, y double")
+    told = [(k, int(rng.integers(0, 60)), float(rng.uniform(0, 900)), float(rng.uniform(0, 900)), [None, 90.0, 210.0][k % 3]) for k in range(12)]
+    hits = L.observed_labels(spark.createDataFrame(told, "report long, t long, x double, y double, radius_m double"), nodes, 130.0, 2)
+    want = {
+        (t + dt, i) for _, t, x, y, r in told for i, (a, b) in enumerate(at) if np.hypot(a - x, b - y) <= max(r or 0, 130.0) for dt in range(-2, 3)
+    }
+    assert {(r.t, r.node_id) for r in hits.collect()} == want and want
+    y = {(t, i): int(rng.random() < 0.3) for t in range(-2, 62) for i in range(40)}
+    labels = spark.createDataFrame([(t, i, v) for (t, i), v in y.items()], "t long, node_id long, y int")
+    rule = {"simulated": lambda k: y[k], "observed": lambda k: int(k in want), "hybrid": lambda k: max(y[k], int(k in want))}
+    for mode, of in rule.items():
+        assert {(r.t, r.node_id): r.y for r in L.fuse_labels(labels, hits, mode).collect()} == {k: of(k) for k in y}
 
 
 def test_feature_json(spark):

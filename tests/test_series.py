@@ -11,18 +11,35 @@ def ts(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
-def test_cleaning_order(spark):
-    df = ts(spark, [(i, v) for i, v in enumerate(["1", "-2", "500", "Infinity", "3", "n/a", None, "NaN"])], "t long, mm string")
-    out = {r.t: (r.mm, r.is_imputed) for r in S.clean_values(df, "mm", 150.0).collect()}
-    assert out == {0: (1, False), 1: (0, False), 2: (150, False), 3: (0, True), 4: (3, False), 5: (0, True), 6: (0, True), 7: (0, True)}
-    biased = {r.t: r.mm for r in S.clean_values(df, "mm", 150.0, 2.0).collect()}
-    assert biased[0] == 2 and biased[2] == 150
-
-
-def test_hour_ending_totals(spark):
-    rows = spark.sql("select * from values (timestamp_ntz'2024-01-01 10:30:00', 1.0), (timestamp_ntz'2024-01-01 11:00:00', 2.0), (timestamp_ntz'2024-01-01 11:15:00', 4.0) as x(ts, mm)")
+def test_cleaning_against_a_plain_rule(spark):
+    rng = np.random.default_rng(31)
+    texts = [None, "", "dry", "-inf", "nan", "-0.4", "0", "1e3", " 7.25 ", *[f"{v:.2f}" for v in rng.normal(20, 30, 40)]]
+    df = ts(spark, list(enumerate(texts)), "t long, mm string")
+    for most, factor in ((42.0, 1.0), (42.0, 1.5)):
+        want = {}
+        for i, text in enumerate(texts):
+            try:
+                v = float(text)
+            except (TypeError, ValueError):
+                v = float("nan")
+            odd = not np.isfinite(v)
+            want[i] = (0.0 if odd else min(max(v, 0.0) * factor, most), odd)
+        got = {r.t: (r.mm, r.is_imputed) for r in S.clean_values(df, "mm", most, factor).collect()}
+        assert got == {i: (pytest.approx(v), odd) for i, (v, odd) in want.items()}
+
+
+def test_hour_ending_totals_against_ceilings(spark):
+    rng = np.random.default_rng(32)
+    minutes = np.sort(rng.choice(60 * 9, 50, replace=False))
+    minutes[10] = minutes[10] // 60 * 60  # a stamp on the hour closes that hour
+    values = rng.integers(1, 9, 50)
+    rows = ts(spark, [(int(m), float(v)) for m, v in zip(minutes, values)], "m int, mm double")
+    rows = rows.select(F.expr("timestamp_ntz'2021-06-05 00:00:00' + make_interval(0, 0, 0, 0, 0, m, 0)").alias("ts"), "mm")
+    want: dict = {}
+    for m, v in zip(minutes, values):
+        want[int(-(-m // 60))] = want.get(int(-(-m // 60)), 0.0) + v
     out = {r.t % 24: r.mm for r in S.to_steps(rows, [], S.hour_ending(F.col("ts")), "mm").collect()}
-    assert out == {11: 3.0, 12: 4.0}
+    assert out == want
 
 
 def test_rain_events_by_clock(spark):
