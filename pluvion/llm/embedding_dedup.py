@@ -164,18 +164,22 @@ def embedding_links(
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors of equal, non-null label and equal length link at `cosine` or more (in double precision). Equal vectors of a
-    label form one class that is hashed once; its members link to one another and to all that the class links to. Null,
-    zero and non-finite vectors, and those without a label, link with nothing and are their own component. Repeated ids
-    are separate vectors of one name. An empty table gives an empty result.
+    label form one class that is hashed once; its members link to one another and to all that the class links to. Classes go
+    by a written row number, so rows of one id are vectors of their own, within a label and across labels; a component takes
+    the smallest id of its classes. Null, zero and non-finite vectors, and those without a label, link with nothing and are
+    their own component. Whole-number labels are compared as they are, labels of other types by a 64-bit hash. A null id is
+    a component's id only where all are null. An empty table gives an empty result; other columns are not read.
     """
+    whole_label = vectors.schema[label_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    label = F.col(label_col).cast("long") if whole_label else F.when(F.col(label_col).isNotNull(), F.xxhash64(label_col))
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"), F.col(label_col).cast("long").alias("label"),
+        F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"), label.alias("label"),
         (F.col(label_col).isNotNull() & valid_vector(F.col(vec_col))).alias("ok"),
     )
     classes = (
-        rows.where("ok").groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"))
+        rows.where("ok").groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"))
     )
-    classes = stored(classes.where("rep is not null").select("rep", "vec", "label", "times"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()).select("rep", "vec", "label", "times", "least"))
     schema = "label long, dim int, tab int, bucket long"
     placed = classes.mapInArrow(
         _bucket_rows(tables, probes, False), schema + ", indexed boolean, rep long, times long, vec binary, probes binary"
@@ -204,14 +208,17 @@ def embedding_links(
         .mapInArrow(_link(tables, probes, cosine), "rep long, n long, root long")
     )
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    comps = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
+    comps = stored(connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst"))))
+    own = comps.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "least"), "rep")
+    names = own.groupBy("component").agg(F.min("least").alias("name"))
+    named = own.join(names, "component").select("rep", "name")
     known = (
-        classes.select("rep", "label", "vec", "times")
+        classes.select("rep", "label", "vec", "times", "least")
         .join(counts, "rep", "left")
-        .join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        .join(named, "rep", "left")
         .select(
             "label", "vec", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("name", "least").alias("component_id"),
         )
     )
     linked = rows.where("ok").join(known, ["label", "vec"], "left")

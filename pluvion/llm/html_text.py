@@ -27,6 +27,8 @@ SHARE = 0.1
 #: A winning path (but of an article or main) holds at least this share of a page's running text, or the page's own vote
 #: counts.
 LEAST = 0.1
+#: An article or main on a winning path with less running text than this is a teaser, unless it has the share LEAST.
+TEASER = 200
 #: On a page without article or main, an element with this share of its running text is no boilerplate, whatever its name.
 MOST = 0.8
 
@@ -45,12 +47,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 #: Their text is never the article's.
 DROP = frozenset(
-    "head script style noscript template textarea title iframe object svg math canvas audio video nav footer header "
+    "head script style noscript template textarea title iframe object svg annotation annotation-xml canvas audio video nav footer header "
     "aside form button select option optgroup datalist label fieldset input dialog menu xmp noembed noframes".split()
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr svg math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded "
+    "mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mlabeledtr "
+    "maction semantics annotation annotation-xml".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 "
@@ -62,13 +66,13 @@ BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar "
     "navigation menu menubar breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar notice notices "
     "cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments "
-    "commentlist disqus reply replies respond share sharing social related recommended widget pagination pager search "
+    "commentlist disqus reply replies respond responses feedback discussion reactions share sharing social related recommended widget pagination pager search "
     "contentinfo complementary copyright disclaimer skip".split()
 )
 NEUTRAL = frozenset(
-    "a an and area bar block bottom box button buttons by col column container first form global group inner item items "
-    "last left link links list main of outer page panel posts primary region right row secondary section site slot small "
-    "stories sub the thread to tools top unit us wrap wrapper".split()
+    "a an and area author bar block body bottom box card cards count button buttons by col column container first form global group inner item items "
+    "last left link links list main media of on our outer page panel posts primary reader readers region right row secondary section site slot small "
+    "stories sub the thread to tools top unit us user users visitor visitors wrap wrapper your".split()
 )
 NEVER_BOILERPLATE = frozenset("html body main article".split())
 ENDS = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
@@ -158,7 +162,7 @@ class Page:
                 if tag == "br":
                     add(" ")
                     continue
-                if tag not in INLINE:
+                if tag not in INLINE and not self.dropped[stack[-1]]:  # what is dropped doesn't cut a sentence
                     close_block()
                 if tag in CLOSES_P:
                     pop("p", CONTAINERS)
@@ -175,7 +179,7 @@ class Page:
                 stack.append(node)
                 opened[tag] = opened.get(tag, 0) + 1
             else:
-                if tag not in INLINE:
+                if tag not in INLINE and not self.dropped[stack[-1]]:
                     close_block()
                 pop(tag, () if tag not in INLINE else CONTAINERS)
         close_block()
@@ -232,8 +236,9 @@ class Page:
         for path in paths:
             roots = {n for n in range(1, len(self.tag)) if self.path[n] == path and self.tag[n] not in INLINE and not self.dropped[n]}
             found = self.below(roots) if roots else []
-            sure = any(self.tag[n] in ("article", "main") for n in roots)
-            if found and (sure or sum(len(text) for _, text, links in found if self._running(text, links)) >= LEAST * total):
+            held = sum(len(text) for _, text, links in found if self._running(text, links))
+            sure = held >= TEASER and any(self.tag[n] in ("article", "main") for n in roots)
+            if found and (sure or held >= LEAST * total):
                 return "\n".join(text for _, text, _ in found)
         return "\n".join(text for _, text, _ in self.below({self.vote()}))
 

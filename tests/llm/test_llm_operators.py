@@ -153,6 +153,33 @@ def test_embedding_links_against_brute_force(spark, monkeypatch):
     assert (got.component_id <= got.index).all()
 
 
+def test_embedding_links_of_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    rows = [(1, [1.0, 0.0], 0), (1, [0.99, 0.1], 0), (2, [1.0, 0.0], 0), (1, [0.0, 1.0], 1), (3, [1.0, 0.01], 0), (None, [0.0, 1.0], 1), (None, [-1.0, 0.0], 1)]
+    rows += [(int(rng.integers(4, 12)), [float(x) for x in rng.normal(size=2)], int(rng.integers(0, 3))) for _ in range(60)]
+    rows += [rows[-1]] * 3
+    got = embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long").repartition(3), "vec_id", "embedding", "label")
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    same = (x @ x.T >= 0.93) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows])[None])
+    reach = same.copy()
+    for _ in range(8):
+        reach = reach @ reach
+    want = []
+    for i, (vec_id, *_) in enumerate(rows):
+        ids = [rows[j][0] for j in np.flatnonzero(reach[i]) if rows[j][0] is not None]
+        least = min(ids, default=None)
+        want.append((vec_id, int(same[i].sum()) - 1, least, vec_id is not None and vec_id == least))
+    assert sorted(map(str, (tuple(r) for r in got.select("vec_id", "n_links", "component_id", "kept").collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("kind,labels", [("double", [1.2, 1.7]), ("string", ["a", "b"])])
+def test_embedding_labels_of_any_type(spark, kind, labels):
+    rows = [(i, [1.0, 0.1 * i], labels[i % 2]) for i in range(4)] + [(9, [1.0, 0.0], None)]
+    got = embedding_dedup.embedding_links(spark.createDataFrame(rows, f"v long, e array<double>, l {kind}"), "v", "e", "l")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == {0: (1, 0), 2: (1, 0), 1: (1, 1), 3: (1, 1), 9: (0, 9)}
+
+
 def test_embedding_links_of_nothing(spark):
     assert embedding_dedup.embedding_links(vectors(spark, []), "vec_id", "embedding", "label").count() == 0
 
@@ -521,6 +548,20 @@ def test_extraction_of_the_given_pages(spark):
         assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
 
 
+def test_extraction_of_teasers_comments_and_formulas(spark):
+    prose = "Nothing in this long sentence is of any use, yet it runs on and on, as sentences of articles do. "
+    pages = [(f"http://h/{i}", f"<body><article><p>{prose * 6}</p></article></body>") for i in range(6)]
+    pages.append(("http://h/t", f"<body><article><p>Read more of this story, if you like to, soon.</p></article><div class=story><p>{prose * 12}</p></div></body>"))
+    boxes = "".join(f"<div class='{c}'><p>{prose}</p></div>" for c in ("comment-body", "promo-card", "social-media"))
+    pages.append(("http://h/c", f"<body><article><p>{prose * 3}</p><section class='reader-comments'><p>{prose}</p></section><section class='user-comments'><p>{prose}</p></section>{boxes}</article></body>"))
+    formula = "<math><mrow><mi>a</mi><mo>+</mo><mn>2</mn></mrow><annotation>a+2</annotation></math>"
+    pages.append(("http://h/m", f"<body><article><p>So <svg><path d='M0'/><text>icon</text></svg>the sum {formula} is what counts, as was said before.</p><p>{prose * 3}</p></article></body>"))
+    pages += pages[-1:]
+    got = {r.url: r.text for r in html_text.extract_text(spark.createDataFrame(pages, "url string, html string")).collect()}
+    assert got["http://h/t"] == (prose * 12).strip() and got["http://h/c"] == (prose * 3).strip()
+    assert got["http://h/m"] == f"So the sum a+2 is what counts, as was said before.\n{(prose * 3).strip()}"
+
+
 def test_extraction_of_odd_pages(spark):
     body = "Running text of the article, with commas, long enough to count as such, really."
     names = "<article><div class='entry-header'><h1>Title</h1></div><p class='share-price'>The share price rose, a little, on that day.</p><p>{}</p><div class='ad'>Buy</div><div id='comments'><p>{}</p></div></article>".format(body, body[8:])
