@@ -503,7 +503,8 @@ def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), head: int =
 
     ids are the library's for the whole text, without begin or end tokens; null and empty texts have none. round_trip
     tells whether decoding gives the text back (null for a null text; false where it holds the space mark itself).
-    Repeated rows stay, each with its ids; a null doc_id stays null. Very long texts and words take the same path as any.
+    Repeated rows stay, each with its ids; a null doc_id stays null. Very long texts take the same path as any. Words over
+    LONGEST characters go through the same lattice in chunks and are folded over arrays in Python, whatever the table's size.
     An empty table gives an empty result. Columns of docs that are not named in carry play no part, whatever their names.
 
     Words outside the head are encoded once for all documents that hold them and sent to where the rows' packed codes go.
@@ -523,13 +524,16 @@ def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), head: int =
     # one exchange serves the grouping and the joins: no filter or pruning may differ below it
     sent = rows.select("uid", "text").mapInArrow(_asked(known), "uid long, k int, word string")
     sent = sent.where("word is not null and uid is not null").repartition("word")
-    words = sent.groupBy("word").agg(F.count_if(F.col("uid").isNotNull() & F.col("k").isNotNull()).alias("n"))
-    long_by = F.char_length("word") - LONGEST
-    short, wide = words.where(F.col("n") * (1 - long_by) > 0), words.where(F.col("n") * long_by > 0)
+    counted = F.count_if(F.col("uid").isNotNull() & F.col("k").isNotNull()).alias("n")
+    # the factor is always 1: it keeps the filter above the exchange, so that only long words are sorted for their join
+    wide = sent.where((F.char_length("word") - LONGEST) * F.floor(1 + F.rand(0)) > 0)
+    words = sent.groupBy("word").agg(counted)
+    short, long = words.where(F.col("n") * (LONGEST + 1 - F.char_length("word")) > 0), wide.groupBy("word").agg(counted).where("n > 0")
     number = F.unhex(F.lpad(F.hex("k"), 8, "0"))
+    # a partition's distinct words are fewer than its rows and no word is frequent: hashed, the rows need no sort
     answers = [
-        sent.join(found.select("word", packed_ids(F.col("ids"), pieces).alias("ids")), "word").select("uid", F.concat(number, "ids").alias("got"))
-        for found in (encode_words(short, pieces), encode_long_words(wide, pieces, shared))
+        asked.join(found.select("word", packed_ids(F.col("ids"), pieces).alias("ids")).hint("shuffle_hash"), "word").select("uid", F.concat(number, "ids").alias("got"))
+        for asked, found in ((sent, encode_words(short, pieces)), (wide, encode_long_words(long, pieces, shared)))
     ]
     own = answers[0].unionByName(answers[1]).groupBy("uid").agg(F.collect_list("got").alias("got"))
     templates = rows.mapInArrow(_templates(known), StructType([*kept, *StructType.fromDDL("body binary, digest long").fields]))
