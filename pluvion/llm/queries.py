@@ -1,6 +1,6 @@
-"""The registered queries of this subpackage; none of the ten can be put into the checking engine's SQL.
+"""The registered queries of this subpackage; none of the thirteen can be put into the checking engine's SQL.
 
-They need XXH64 or CRC32, trained models, tokenizer files, HTML parsing or schedules; tests compare each with a
+They need XXH64 or CRC32, least audits, suffix orders, trained models, tokenizer files, HTML parsing or schedules; tests compare each with a
 brute-force version or a library instead.
 """
 
