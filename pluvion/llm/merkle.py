@@ -154,3 +154,24 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op12_merkle_manifest": op12_merkle_manifest}
+
+#: lv and tv hold the nodes of all levels, of a language's tree (tr) and of the subroots'; sb and st their siblings.
+ORACLE = {
+    "op12_merkle_manifest": """
+WITH RECURSIVE dc AS (SELECT doc_id, text, lang, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tr,
+  coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+  list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM documents),
+lf AS MATERIALIZED (SELECT doc_id, tr, leaf, claim, row_number() OVER (PARTITION BY tr ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY tr) AS n FROM (
+  SELECT doc_id, tr, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+  sha256(head || coalesce(strlen(text) || ':' || CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS claim FROM dc)),
+lv AS (SELECT 0 AS k, tr, r AS i, leaf AS h, n FROM lf UNION ALL SELECT k + 1, tr, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM lv WHERE n > 1 GROUP BY k, tr, i // 8, n),
+sr AS MATERIALIZED (SELECT tr, h, count(*) OVER () AS n FROM lv WHERE n = 1),
+tv AS (SELECT 0 AS k, tr AS i, h, n FROM sr UNION ALL SELECT k + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM tv WHERE n > 1 GROUP BY k, i // 8, n),
+sb AS MATERIALIZED (SELECT a.k, a.tr, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS r FROM lv a JOIN lv b ON a.k = b.k AND a.tr = b.tr AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.k, a.tr, a.i),
+st AS MATERIALIZED (SELECT a.k, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS r FROM tv a JOIN tv b ON a.k = b.k AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.k, a.i),
+fd AS (SELECT doc_id, leaf, tr, 0 AS k, r AS i, claim AS acc, '' AS pf FROM lf UNION ALL SELECT doc_id, leaf, fd.tr, fd.k + 1, fd.i // 8, sha256(l || acc || r), pf || l || r FROM fd JOIN sb ON sb.k = fd.k AND sb.tr = fd.tr AND sb.i = fd.i),
+low AS MATERIALIZED (SELECT fd.* FROM fd JOIN (SELECT tr, max(k) AS k FROM lv GROUP BY tr) m ON m.tr = fd.tr AND m.k = fd.k),
+fu AS (SELECT doc_id, leaf, tr, 0 AS k, tr AS i, acc, pf FROM low UNION ALL SELECT doc_id, leaf, tr, fu.k + 1, fu.i // 8, sha256(l || acc || r), pf || l || r FROM fu JOIN st ON st.k = fu.k AND st.i = fu.i)
+SELECT doc_id, leaf, sr.h AS subroot, root, sha256(pf) AS proof_sha256, acc AS folded_root, acc = root AS verified FROM fu JOIN sr ON sr.tr = fu.tr, (SELECT h AS root, k AS top FROM tv WHERE n = 1) WHERE fu.k = top
+"""
+}

@@ -1,7 +1,7 @@
-"""The registered queries of this subpackage; none of the thirteen can be put into the checking engine's SQL.
+"""The registered queries of this subpackage, and the SQL of the one that the checking engine can express.
 
-They need XXH64 or CRC32, least audits, suffix orders, trained models, tokenizer files, HTML parsing or schedules; tests compare each with a
-brute-force version or a library instead.
+The others need XXH64, least audits, suffix orders, trained models, tokenizer files, HTML parsing or schedules; tests
+compare each with a brute-force version or a library instead.
 """
 
 from . import ann, conversations, embedding_dedup, html_text, language_id, merkle, mixing, sentencepiece_lattice, sharding, simhash, suffix_dedup, token_counts, toxicity
@@ -14,4 +14,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(merkle.ORACLE)
