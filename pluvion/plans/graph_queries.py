@@ -144,11 +144,15 @@ def propagated_elevation(spark, d):
     return G.propagate(arcs, A.nodes(spark, d), "elevation").select("node_id", F.round("out", 6).alias("out"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {SHARES}, sm AS MATERIALIZED (SELECT u, v, share FROM sh), term AS (SELECT 0 AS k, node_id AS i, node_id AS j, 1.0::DOUBLE AS w FROM nodes "
+    "UNION ALL SELECT k + 1, v, j, sum(w * share) FROM term JOIN sm ON u = i GROUP BY k, v, j) SELECT i, j, round(sum(w), 8) AS w FROM term GROUP BY i, j"
+)
 def upstream_shares(spark, d):
     """Which part of each node's water passes every other node."""
     points = A.nodes(spark, d)
-    return G.upstream_operator(G.outflow_shares(A.edges(spark, d), points, 1.1), points)
+    out = G.upstream_operator(G.outflow_shares(A.edges(spark, d), points, 1.1), points)
+    return out.select("i", "j", F.round("w", 8).alias("w"))
 
 
 @query(
@@ -169,7 +173,12 @@ def cleaned_network(spark, d):
     return G.clean_network(A.nodes(spark, d), A.edges(spark, d))[1]
 
 
-@query("SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT round(avg(length), 3) FROM edges) AS mean_length, (SELECT min(elevation) FROM nodes) AS min_elevation, (SELECT max(elevation) FROM nodes) AS max_elevation, 1::BIGINT AS components")
+@query(
+    "WITH RECURSIVE b AS (SELECT u AS x, v AS y FROM edges UNION SELECT v, u FROM edges UNION SELECT node_id, node_id FROM nodes), "
+    "r AS (SELECT x AS node, x AS seen FROM b UNION SELECT r.node, b.y FROM r JOIN b ON b.x = r.seen), c AS (SELECT node, min(seen) AS component FROM r GROUP BY node) "
+    "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT round(avg(length), 3) FROM edges) AS mean_length, "
+    "(SELECT min(elevation) FROM nodes) AS min_elevation, (SELECT max(elevation) FROM nodes) AS max_elevation, (SELECT count(DISTINCT component) FROM c) AS components"
+)
 def graph_summary(spark, d):
     out = G.graph_summary(A.nodes(spark, d), A.edges(spark, d))
     return out.select("nodes", "edges", F.round("mean_length", 3).alias("mean_length"), "min_elevation", "max_elevation", "components")
