@@ -134,12 +134,21 @@ def placement_extent(nodes: DataFrame, bbox: tuple[float, float, float, float] |
 
 
 def mean_fill(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """df with what is not finite replaced by the mean of the others of its keys; nothing finite is an error when read."""
+    """df with what is not finite replaced by the mean of the others of its keys; nothing finite is an error when read.
+
+    Null keys are a group of their own. Rows travel as one struct, so columns of any name stay.
+    """
     finite = F.when(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")), F.col(value))
-    mean = df.groupBy(*keys).agg(F.avg(finite).alias("_mean"))
-    joined = df.join(mean, list(keys)) if keys else df.join(F.broadcast(mean), on=F.lit(True))
+    mean = df.groupBy(*keys).agg(F.avg(finite).alias("mean"))
+    mean = mean.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], F.col("mean"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), finite.alias("finite"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(f"row.`{k}`").eqNullSafe(F.col(f"key_{i}"))
+    joined = rows.join(mean if keys else F.broadcast(mean), on=on)
     fail = F.raise_error(F.lit(f"no finite {value}")).cast("double")
-    return joined.withColumn(value, F.coalesce(finite, "_mean", fail)).drop("_mean")
+    filled = F.coalesce("finite", "mean", fail).alias(value)
+    return joined.select(*[filled if c == value else F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 
 def latest(events: DataFrame, total: str, least: float) -> DataFrame:
@@ -224,11 +233,14 @@ def dataset_rows(values: DataFrame, windows: DataFrame, keys: Sequence[str], val
 
 
 def dataset_statistics(rows: DataFrame, labels: DataFrame | None = None, lookback_included: bool = False) -> DataFrame:
-    """(split, windows, steps, mean, deviation) of dataset_rows; with labels(t, y) also the positive rate of scored steps."""
+    """(split, windows, steps, mean, deviation) of dataset_rows; with labels(t, y) also the positive rate of scored steps.
+
+    Steps without a label count among windows and steps, and neither as positive nor as negative in the rate.
+    """
     own = rows if lookback_included else rows.where("step >= 0")
     more = []
     if labels is not None:
-        own = own.join(labels, "t")
+        own = own.join(labels, "t", "left")
         more = [F.avg(F.col("y").cast("double")).alias("positive_rate"), F.count_distinct(F.when(F.col("y") > 0, F.col("start"))).alias("flood_windows")]
     return own.groupBy("split").agg(
         F.count_distinct("start").alias("windows"), F.count("*").alias("steps"), F.avg("scaled").alias("mean"), F.stddev_pop("scaled").alias("deviation"), *more
