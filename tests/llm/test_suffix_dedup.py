@@ -87,3 +87,14 @@ def test_induced_sorting(tmp_path, monkeypatch, batch, memory):
             shared.append(k)
         assert prefix.tolist() == shared
     assert not list(tmp_path.iterdir())  # files go with their last reader
+
+
+def test_near_dedup_keeps_columns_of_any_name(spark):
+    from pluvion.llm import similar_sets
+
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, words, 7, 1, 2), (2, words, 8, 3, 4), (3, "quite another text of its own, as long as that", 9, 5, 6)]
+    schema = "doc_id long, text string, _key int, key int, row int"
+    got = similar_sets.drop_similar(spark.createDataFrame(rows, schema), 5, 0.8)
+    assert got.columns == ["doc_id", "text", "_key", "key", "row"] and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
+    assert similar_sets.drop_similar(spark.createDataFrame([], schema), 5, 0.8).count() == 0
