@@ -23,6 +23,8 @@ from __future__ import annotations
 import heapq
 from array import array
 from collections import Counter
+from collections.abc import Iterable
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -315,50 +317,69 @@ class Coder:
     def __init__(self, head: tuple):
         self.pieces, self.tokens, self.words, self.first = head[:4]
 
-    def _find(self, text: str | None) -> tuple[list, dict, dict, dict]:
-        """(tokens, code by token, codes by token of several, codes of the words to look up)."""
-        asked: dict[str, int] = {}
-        if not text:
-            return [], {}, {}, asked
-        text = text.replace("▁", " ")
-        if "  " in text or text[0] == " ":  # a word takes the whole run of spaces before it
-            return [text], {text: None}, {text: self._each(self.pieces.words(text), asked)}, asked
-        tokens = text.split(" ")
-        distinct = dict.fromkeys(tokens)
-        code = dict(zip(distinct, map(self.tokens.get, distinct)))
-        several = {t: self._each(self._words(t), asked) for t, c in code.items() if c is None}
-        return tokens, code, several, asked
-
-    def _words(self, token: str) -> list[str]:
-        if len(token) < LONGEST and token:
-            if token.isalpha():
-                return [" " + token]
-            if token[:-1].isalpha() and not token[-1].isalpha():
-                return [" " + token[:-1], token[-1]]
-        return self.pieces.words(token) if token else [" "]
-
     def _each(self, words: list[str], asked: dict[str, int]) -> list[int]:
         codes = list(map(self.words.get, words))
-        for i, c in enumerate(codes):
-            if c is None:
-                codes[i] = asked.setdefault(words[i], self.first + len(asked))
+        if None in codes:
+            for i, c in enumerate(codes):
+                if c is None:
+                    codes[i] = asked.setdefault(words[i], self.first + len(asked))
         return codes
 
+    def _resolve(self, tokens: Iterable[str], asked: dict[str, int]) -> tuple[dict[str, int], dict[str, list[int]]]:
+        """By token outside the head, each given once: the code of its word, or those of its words if it has several."""
+        find, ask, first, cut = self.words.get, asked.setdefault, self.first, self.pieces.words
+        one: dict[str, int] = {}
+        several: dict[str, list[int]] = {}
+        for t in tokens:
+            if len(t) >= LONGEST or not t:
+                several[t] = self._each(cut(t) if t else [" "], asked)
+            elif t.isalpha():
+                if (c := find(w := " " + t)) is None:
+                    c = ask(w, first + len(asked))
+                one[t] = c
+            elif (body := t[:-1]).isalpha():
+                if (c := find(w := " " + body)) is None:
+                    c = ask(w, first + len(asked))
+                if (d := find(t[-1])) is None:
+                    d = ask(t[-1], first + len(asked))
+                several[t] = [c, d]
+            else:
+                several[t] = self._each(cut(t), asked)
+        return one, several
+
+    def _tokens(self, text: str) -> list[str] | None:
+        """The space-delimited tokens of a text; None where a word takes a run of spaces before it."""
+        return None if "  " in text or text[0] == " " else text.split(" ")
+
     def asked(self, text: str | None) -> dict[str, int]:
-        return self._find(text)[3]
+        """The words of a text to look up, each with its code, in order of first appearance."""
+        asked: dict[str, int] = {}
+        if text:
+            text = text.replace("▁", " ")
+            if (tokens := self._tokens(text)) is None:
+                self._each(self.pieces.words(text), asked)
+            else:
+                self._resolve(filterfalse(self.tokens.__contains__, dict.fromkeys(tokens)), asked)
+        return asked
 
     def codes(self, text: str | None) -> list[int]:
-        tokens, code, several, _ = self._find(text)
+        if not text:
+            return []
+        text = text.replace("▁", " ")
+        if (tokens := self._tokens(text)) is None:
+            return self._each(self.pieces.words(text), {})
+        distinct = dict.fromkeys(tokens)
+        code = dict(zip(distinct, map(self.tokens.get, distinct)))
+        one, several = self._resolve([t for t, c in code.items() if c is None], {})
+        code.update(one)
         codes = list(map(code.get, tokens))
-        if not several:
-            return codes
         out, done, i = [], 0, -1
         for _ in range(codes.count(None)):
             i = codes.index(None, i + 1)
             out += codes[done:i]
             out += several[tokens[i]]
             done = i + 1
-        return out + codes[done:]
+        return out + codes[done:] if done else codes
 
 
 def _asked(known):
