@@ -54,7 +54,9 @@ def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     ranked = average_rank(average_rank(rows, a, "_ra"), b, "_rb")
     flat = (F.count("*") < 3) | (F.stddev_pop(a) == 0) | (F.stddev_pop(b) == 0)
-    return ranked.agg(F.when(~flat, F.corr(a, b)).alias("pearson"), F.when(~flat, F.corr("_ra", "_rb")).alias("spearman"), F.count("*").alias("n"))
+    # corr itself raises on a constant side in ANSI mode
+    of = lambda x, y: F.when(~flat, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+    return ranked.agg(of(a, b).alias("pearson"), of("_ra", "_rb").alias("spearman"), F.count("*").alias("n"))
 
 
 def group_rates(df: DataFrame, value: str, flag: Column) -> DataFrame:
@@ -80,6 +82,22 @@ def flooding_events(events: DataFrame, flooded: DataFrame, tail: int) -> DataFra
     return spans.join(hit, "event_id", "left").withColumn("floods", F.coalesce("_hit", F.lit(False))).drop("_hit", "_until")
 
 
+def flooding_by_period(events: DataFrame, period: Column) -> DataFrame:
+    """(period, events, floods) of flooding_events; an event counts where it begins."""
+    return events.groupBy(period.alias("period")).agg(F.count("*").alias("events"), F.count_if("floods").alias("floods"))
+
+
+def event_peak(hourly: DataFrame, span: DataFrame) -> DataFrame:
+    """One row (peak_share, peak_t, peak_rain) of hourly(t, share, mm) within the one row span(first, last), ends included.
+
+    peak_t is the first hour of the greatest share. All are null where the record has no hour of the span.
+    """
+    inside = hourly.join(F.broadcast(span.select("first", "last")), F.col("t").between(F.col("first"), F.col("last")))
+    return inside.agg(
+        F.max("share").alias("peak_share"), F.min_by("t", F.struct(-F.col("share"), F.col("t"))).alias("peak_t"), F.sum("mm").alias("peak_rain")
+    )
+
+
 def season_rates(hourly: DataFrame, months: list[int], dry_mm: float) -> DataFrame:
     """One row of hourly(t, month, share, sum_6): mean flooded share in season, flooded hours, and those that were dry."""
     flooded = F.col("share") > 0

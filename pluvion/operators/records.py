@@ -276,16 +276,38 @@ def calibration_checks(stats: DataFrame) -> DataFrame:
     )
 
 
-def calibration_statistics(labels: DataFrame, rain: DataFrame, uniform: DataFrame, hourly: DataFrame, events_per_year: Column, months: list[int], dry_mm: float, wet: float) -> DataFrame:
-    """One row of the label statistics that need no static columns; hourly(t, month, share, sum_6)."""
-    share = D.flooded_share(labels).select(F.col("median").alias("median_share"), F.col("most").alias("peak_share"))
+#: Fixed value: hours of a year in yearly rates.
+HOURS_A_YEAR = 8760
+
+
+def calibration_statistics(
+    labels: DataFrame, rain: DataFrame, uniform: DataFrame, hourly: DataFrame, static: DataFrame, span: DataFrame,
+    months: list[int], dry_mm: float, wet: float, event_mm: float, max_gap: int = 2, tail: int = 6,
+) -> DataFrame:
+    """One row of everything that calibration_checks asks for, and flooding events, their number and the peak's hour and rain.
+
+    labels, uniform(t, node_id, y); rain(t, node_id, rain); hourly(t, month, share, mm, sum_6), whose first and last hour
+    bound the record; static(node_id, relev, accum, sink), numbers; span(first, last), one row, of the event with a known
+    peak. Rank one, overlap with uniform rain and the correlations are of the months of the season. A statistic is null
+    where it is undefined: no positive label, a constant column, no hour in the span. Runs jobs when called.
+    """
+    hourly = cut(hourly)
+    season = hourly.where(F.col("month").isin(months)).select("t")
+    own = cut(in_target(labels.select("t", "node_id", "y"), season))
+    events = S.rain_events(hourly, [], "mm", event_mm, max_gap).groupBy("event_id").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    flooding = D.flooding_events(events, labels.where("y = 1").select("t").distinct(), tail)
+    years = hourly.agg(((F.max("t") - F.min("t") + 1) / HOURS_A_YEAR).alias("years"))
+    frequency = cut(D.flood_frequency(own).join(static, "node_id"))
     parts = [
-        D.season_rates(hourly, months, dry_mm), D.rain_heterogeneity(rain, wet).select("cv_median", "peak_p95"), D.label_jaccard(labels, uniform),
+        D.season_rates(hourly, months, dry_mm).select("season_rate", "dry_floods"), D.event_peak(hourly, span),
+        D.rain_heterogeneity(rain, wet).select("cv_median", "peak_p95"), D.label_jaccard(own, in_target(uniform, season)),
+        flooding.agg(F.count("*").alias("events"), F.count_if("floods").alias("flooding_events")), years,
+        *[D.correlations(frequency, "frequency", c).select(F.col("spearman").alias(c)) for c in ("relev", "accum", "sink")],
     ]
-    for p in parts:
-        share = share.join(F.broadcast(p), on=F.lit(True))
-    none = F.lit(None).cast("double")
-    return share.select("*", events_per_year.alias("events_per_year"), none.alias("relev"), none.alias("accum"), none.alias("sink"), none.alias("rank_one"))
+    out = D.flooded_share(labels).select(F.col("median").alias("median_share"))
+    for part in parts:
+        out = out.join(F.broadcast(part), on=F.lit(True))
+    return out.withColumns({"events_per_year": F.try_divide("flooding_events", "years"), "rank_one": F.lit(D.rank_one_share(own)).cast("double")})
 
 
 def ensemble_threshold(members: DataFrame, labels: DataFrame, metric: str, grid: Sequence[float]) -> DataFrame:
