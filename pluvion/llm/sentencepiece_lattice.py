@@ -41,7 +41,7 @@ from .common import table
 #: Characters of a word that the bits of the fold's state can hold, and starts of a chunk of longer words.
 LONGEST, CHUNK = 62, 64
 #: Words in the head at most (and half as many space-delimited tokens), and documents of the sample it comes from, about.
-HEAD, HEAD_DOCS = 196_608, 20_000
+HEAD, HEAD_DOCS = 327_680, 40_000
 WORD = regex.compile(r" *\p{L}+| *[^\p{L} ]+| +")
 
 
