@@ -25,7 +25,7 @@ def clean_probability(p: Column) -> Column:
     return F.least(F.greatest(F.coalesce(F.nanvl(p.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
 
 
-def confusion(df: DataFrame, threshold: float, groups: Sequence[str] = (), undefined: float | None = 0.0) -> DataFrame:
+def confusion(df: DataFrame, threshold: float | Column, groups: Sequence[str] = (), undefined: float | None = 0.0) -> DataFrame:
     """tp, fp, fn, tn and what follows from them; p >= threshold alerts; 0/0 is `undefined` (0, or None for null)."""
     alert, yes = F.col("p") >= threshold, F.col("y") == 1
     counts = df.groupBy(*groups).agg(
@@ -57,34 +57,39 @@ def threshold_scores(undefined: float | None = 0.0) -> list[Column]:
     ]
 
 
-def score_counts(df: DataFrame) -> DataFrame:
-    """(p, pos, n) per distinct score."""
-    return df.groupBy("p").agg(F.sum("y").cast("long").alias("pos"), F.count("*").alias("n"))
+def score_counts(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, p, pos, n) per distinct score."""
+    return df.groupBy(*groups, "p").agg(F.sum("y").cast("long").alias("pos"), F.count("*").alias("n"))
 
 
-def cumulative_counts(df: DataFrame) -> DataFrame:
-    """(p, pos, n, tp, alerts): of rows scored p or more, how many are positive and how many there are.
+def cumulative_counts(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, p, pos, n, tp, alerts): of a group's rows scored p or more, how many are positive and how many there are.
 
-    The ranges are laid down by a checkpoint, so a partition's number means the same rows in both passes.
+    Ranges run over groups and scores together, so a large group spans several and small ones share one. They are laid
+    down by a checkpoint, so a partition's number means the same rows in both passes.
     """
-    ranged = score_counts(df).repartitionByRange(F.desc("p")).withColumn("_part", F.spark_partition_id())
+    ranged = score_counts(df, groups).repartitionByRange(*groups, F.desc("p")).withColumn("_part", F.spark_partition_id())
     laid = cut(ranged)
-    sums = laid.groupBy("_part").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    # one row per partition: its size is the number of partitions
-    above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = laid.groupBy("_part", *groups).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    # a row for each partition and group in it: no more than there are of both
+    above = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = sums.select(
-        "_part", F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("_pos"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_n")
-    )
-    inside = Window.partitionBy("_part").orderBy(F.desc("p"))
-    running = laid.select("_part", "p", "pos", "n", F.sum("pos").over(inside).alias("tp"), F.sum("n").over(inside).alias("alerts"))
-    joined = running.join(F.broadcast(shift), "_part")
-    return joined.select("p", "pos", "n", (F.col("tp") + F.col("_pos")).alias("tp"), (F.col("alerts") + F.col("_n")).alias("alerts"))
-
-
-def ranking_metrics(df: DataFrame) -> DataFrame:
-    """One row: average precision (step sum over distinct scores), ROC-AUC with ties, positives, rows; null if one class."""
-    c = cumulative_counts(df)
-    sums = c.agg(
+        F.col("_part").alias("_at"), *[F.col(g).alias(f"_at_{g}") for g in groups],
+        F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("_pos"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_n"),
+    )
+    inside = Window.partitionBy("_part", *groups).orderBy(F.desc("p"))
+    running = laid.select("_part", *groups, "p", "pos", "n", F.sum("pos").over(inside).alias("tp"), F.sum("n").over(inside).alias("alerts"))
+    same = F.col("_part") == F.col("_at")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_at_{g}"))
+    joined = running.join(shift if groups else F.broadcast(shift), same)
+    return joined.select(*groups, "p", "pos", "n", (F.col("tp") + F.col("_pos")).alias("tp"), (F.col("alerts") + F.col("_n")).alias("alerts"))
+
+
+def ranking_metrics(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Average precision (step sum over distinct scores), ROC-AUC with ties, positives, rows of a group; null if one class."""
+    c = cumulative_counts(df, groups)
+    sums = c.groupBy(*groups).agg(
         F.sum(F.col("pos") * F.col("tp") / F.col("alerts")).alias("ap"),
         F.sum((F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos") / 2)).alias("auc"),
         F.sum("pos").alias("positives"),
@@ -93,7 +98,7 @@ def ranking_metrics(df: DataFrame) -> DataFrame:
     p, n = F.col("positives"), F.col("rows")
     two = (p > 0) & (p < n)
     return sums.select(
-        F.when(two, F.col("ap") / p).alias("average_precision"), F.when(two, F.col("auc") / (p * (n - p))).alias("roc_auc"), "positives", "rows"
+        *groups, F.when(two, F.col("ap") / p).alias("average_precision"), F.when(two, F.col("auc") / (p * (n - p))).alias("roc_auc"), "positives", "rows"
     )
 
 
@@ -161,20 +166,25 @@ def best_threshold(df: DataFrame, metric: str, grid: Sequence[float]) -> DataFra
     return middle.select(F.when(two, at).otherwise(0.5).alias("threshold"), F.when(two, F.col("score")).otherwise(0.0).alias("score"))
 
 
+def filled_bins(df: DataFrame, bins: int, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, bin, n, mean_p, observed) of the equal-width bins that hold rows."""
+    at = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("long")
+    return df.groupBy(*groups, at.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("observed"))
+
+
 def reliability(df: DataFrame, bins: int) -> DataFrame:
     """(bin, lo, hi, n, mean_p, observed) of equal-width bins; empty ones have null means."""
-    at = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("long")
-    got = df.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("observed"))
+    got = filled_bins(df, bins)
     every = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
     return every.join(got, "bin", "left").select(
         "bin", (F.col("bin") / bins).alias("lo"), ((F.col("bin") + 1) / bins).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"), "mean_p", "observed"
     )
 
 
-def calibration_errors(curve: DataFrame) -> DataFrame:
-    """One row: ece (weighted mean gap) and mce (largest gap)."""
+def calibration_errors(curve: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """A row a group: ece (weighted mean gap) and mce (largest gap)."""
     gap = F.abs(F.col("mean_p") - F.col("observed"))
-    return curve.agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
+    return curve.groupBy(*groups).agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
 
 
 def rain_skill(df: DataFrame, groups: Sequence[str] = (), wet: float = 1.0) -> DataFrame:

@@ -13,6 +13,7 @@ from . import metrics as M
 from . import spatial as P
 from . import series as S
 from .components import cut
+from .reports import reports
 from .scenarios import design_storm
 
 #: Sources of elevation and drains that were measured, not made up.
@@ -102,22 +103,15 @@ def forecast_truth(leads: DataFrame, rain: DataFrame, labels: DataFrame) -> Data
 
 def evaluation_report(df: DataFrame, threshold: float, bins: int = 10, undefined: float | None = 0.0) -> DataFrame:
     """One row: counts and scores at the threshold, average precision, ROC-AUC, Brier, log loss, ece and mce of (y, p)."""
-    parts = [
-        M.confusion(df, threshold, undefined=undefined), M.ranking_metrics(df), M.brier_and_log_loss(df), M.calibration_errors(M.reliability(df, bins))
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(F.broadcast(p), on=F.lit(True))  # one row each
-    return out
+    return reports(df, threshold, (), bins, undefined)
 
 
 def reports_by_row(df: DataFrame, row: str, names: Sequence[str], threshold: float, bins: int = 10) -> DataFrame:
-    """The evaluation report of each named row of a long score table."""
-    out = None
-    for name in names:
-        one = evaluation_report(df.where(F.col(row) == name), threshold, bins).select(F.lit(name).alias(row), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The evaluation report of each named row of a long score table, all in one pass; a name without rows counts none."""
+    named = df.sparkSession.createDataFrame([(n,) for n in names], f"`{row}` string")
+    found = reports(df.where(F.col(row).isin(list(names))).select(row, "y", "p"), threshold, [row], bins)
+    at = found.columns.index("alert_rate") + 1
+    return named.join(found, row, "left").fillna(0, found.columns[1:at])
 
 
 def placement_extent(nodes: DataFrame, bbox: tuple[float, float, float, float] | None, margin: float, radius: float, keys: Sequence[str] = ()) -> DataFrame:

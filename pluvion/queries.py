@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import series
-from .plans import adapters, composed_queries, graph_queries, scenario_queries, score_queries, series_queries, stream_queries, whole_queries
+from .plans import adapters, composed_queries, graph_queries, report_queries, scenario_queries, score_queries, series_queries, stream_queries, whole_queries
 
-MODULES = (series_queries, graph_queries, score_queries, scenario_queries, stream_queries, composed_queries, whole_queries)
+MODULES = (series_queries, graph_queries, score_queries, scenario_queries, stream_queries, composed_queries, whole_queries, report_queries)
 
 
 def queries() -> dict:
