@@ -24,10 +24,12 @@ import heapq
 from array import array
 from collections import Counter
 from collections.abc import Iterable
+from functools import cached_property
 from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -196,7 +198,8 @@ def _edge_table(words: DataFrame, pieces: Pieces, columns: str) -> DataFrame:
     """The pieces that an edge can stand for; its size is the vocabulary's."""
     place = {rank: k for k, rank in enumerate(sorted({rank for rank, _ in pieces.rank.values()}))}
     rows = [(name, place[rank], i) for name, (rank, i) in pieces.rank.items() if len(name) > 1 or ord(name) >= PLAIN]
-    lookup = words.sparkSession.createDataFrame(rows, "sub string, place long, id int")
+    sub, at, ids = zip(*rows)
+    lookup = words.sparkSession.createDataFrame(pa.table({"sub": pa.array(sub, pa.string()), "place": pa.array(at, pa.int64()), "id": pa.array(ids, pa.int32())}))
     return F.broadcast(lookup.selectExpr("sub", columns))
 
 
@@ -311,11 +314,43 @@ def _words_of(shared):
     return run
 
 
+def _cut(shared):
+    """(token, words): tokens none of whose words is over LONGEST, and these words."""
+
+    def run(batches):
+        pieces = shared.value
+        for batch in batches:
+            cut = [(t, pieces.words(t) if t else [" "]) for t in batch.column(0).to_pylist()]
+            kept = [(t, words) for t, words in cut if max(map(len, words)) <= LONGEST]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([t for t, _ in kept], pa.string()), pa.array([w for _, w in kept], pa.list_(pa.string()))], ["token", "words"]
+            )
+
+    return run
+
+
+class Head:
+    """Frequent tokens, then words, whose codes are their numbers, and their ids one after another.
+
+    The driver holds columns only; the codes by token and by word are made where texts are read, once a Python worker.
+    """
+
+    def __init__(self, pieces: Pieces, tokens: pa.Array, words: pa.Array, flat: bytes, ends: np.ndarray):
+        self.pieces, self.names, self.flat, self.ends = pieces, (tokens, words), flat, ends
+
+    @cached_property
+    def codes(self) -> tuple[dict[str, int], dict[str, int]]:
+        tokens, words = self.names
+        first = len(tokens)  # frequent tokens get small codes, words follow
+        return dict(zip(tokens.to_pylist(), range(first))), dict(zip(words.to_pylist(), range(first, first + len(words))))
+
+
 class Coder:
     """Codes of texts: numbers of space-delimited tokens and of words in the head; words to look up follow from `first`."""
 
-    def __init__(self, head: tuple):
-        self.pieces, self.tokens, self.words, self.first = head[:4]
+    def __init__(self, head: Head):
+        self.pieces, self.first = head.pieces, len(head.ends)
+        self.tokens, self.words = head.codes
 
     def _each(self, words: list[str], asked: dict[str, int]) -> list[int]:
         codes = list(map(self.words.get, words))
@@ -430,7 +465,8 @@ def _filled(known):
     """
 
     def run(batches):
-        pieces, _, _, head, flat, ends = known.value
+        pieces, flat, ends = known.value.pieces, known.value.flat, known.value.ends
+        head = len(ends)
         kind = np.dtype(f"u{array(pieces.code).itemsize}")
         own, begin = np.frombuffer(flat, dtype=kind), np.concatenate([[0], ends[:-1]]).astype(np.int64)
         size = (ends - begin).astype(np.int64)
@@ -482,41 +518,33 @@ def _filled(known):
     return run
 
 
-def _head(texts: DataFrame, pieces: Pieces, shared, most: int) -> tuple:
-    """(pieces, code by token, code by word, codes, ids one after another, their ends).
+def _head(texts: DataFrame, pieces: Pieces, shared, most: int) -> Head:
+    """The words most frequent in a sample of texts(doc_id, text), at most `most`, half as many tokens, and all words of these.
 
-    The words most frequent in a sample of texts(doc_id, text), at most `most`, half as many tokens, and all words of
-    these, which the lattice encodes.
+    Spark cuts the tokens and the lattice encodes the words. Only Arrow columns of the chosen ones reach the driver.
     """
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, HEAD_DOCS / max(texts.count(), 1)) * (1 << 30))
     found = texts.where(share).select("text").mapInArrow(_frequent, "token string, n long")
     tokens = stored(found.groupBy("token").agg(F.sum("n").alias("n")))
     words_seen = tokens.mapInArrow(_words_of(shared), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = lambda counted, k: counted.orderBy(F.desc("n"), "token").limit(k).select("token").toArrow()["token"].to_pylist()
-    split = lambda t: pieces.words(t) if t else [" "]
-    frequent = [t for t in top(tokens, most // 2) if max(map(len, split(t))) <= LONGEST]
-    words = dict.fromkeys(w for t in frequent for w in split(t))
-    words.update(dict.fromkeys(top(words_seen, most)))
-    rows = texts.sparkSession.createDataFrame(pa.table({"word": pa.array(list(words), pa.string())}))
-    del words
-    coded = encode_words(rows.repartition(8, "word"), pieces)
-    got = coded.select("word", packed_ids(F.col("ids"), pieces).alias("ids")).toArrow().combine_chunks()
-    first = len(frequent)  # frequent tokens get small codes, words follow
-    codes = dict(zip(got["word"].to_pylist(), range(first, first + got.num_rows)))
-    ids = got["ids"]
-    flat, ends = bytearray(), array("q")
-
-    def add(parts: list[bytes]) -> None:
-        for x in parts:
-            flat.extend(x)
-        ends.append(len(flat) // array(pieces.code).itemsize)
-
-    for t in frequent:
-        add([ids[codes[w] - first].as_py() for w in split(t)])
-    for k in range(got.num_rows):
-        add([ids[k].as_py()])
-    tokens = dict(zip(frequent, range(first)))
-    return pieces, tokens, codes, len(ends), bytes(flat), np.array(ends, dtype=np.int64)
+    top = lambda counted, k: counted.orderBy(F.desc("n"), "token").limit(k).select("token")
+    cut = stored(top(tokens, most // 2).mapInArrow(_cut(shared), "token string, words array<string>"))
+    words = cut.select(F.explode("words").alias("word")).union(top(words_seen, most)).repartition(8, "word").distinct()
+    coded = encode_words(words, pieces).select("word", packed_ids(F.col("ids"), pieces).alias("ids")).toArrow()
+    names, ids = coded["word"].combine_chunks(), coded["ids"].combine_chunks()
+    frequent = cut.toArrow()
+    lists = frequent["words"].combine_chunks()
+    at = pc.index_in(lists.flatten(), value_set=names)
+    if at.null_count:
+        raise ValueError("words of frequent tokens were lost")
+    parts = pa.concat_arrays([ids.take(at), ids])  # by word of each token, then by word
+    bounds = np.concatenate([[0], np.cumsum(pc.binary_length(parts).to_numpy(), dtype=np.int64)]) // array(pieces.code).itemsize
+    last = np.concatenate([np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64), np.arange(len(at) + 1, len(parts) + 1)])
+    flat = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts), b"")[0].as_py()
+    ends = bounds[last]
+    del coded, ids, parts, lists
+    pa.default_memory_pool().release_unused()
+    return Head(pieces, frequent["token"].combine_chunks(), names, flat, ends)
 
 
 def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), head: int = HEAD) -> DataFrame:

@@ -14,15 +14,19 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import stored
 from .common import table, with_fields
 
 #: Labelled documents that the model is fitted on at most, about (a hashed share).
 TRAIN_DOCS = 12_000
 #: A feature is used if this many sample documents have it.
 MIN_DOCS = 8
+#: Entries of the sample that the fit computes with at a time (sets its memory, not the result).
+BLOCK = 1 << 18
 PREFIXES = (5, 7)
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}\p{N}]*")
 
@@ -48,6 +52,26 @@ def _document_features(batches):
         )
 
 
+def _packed(shared):
+    """Each document's grade, and its used features' codes and counts, packed: few bytes reach the driver."""
+
+    def run(batches):
+        terms, pack = shared.value, zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            sizes, bodies = [], []
+            for names, counts in zip(batch.column(1), batch.column(2)):
+                names, counts = names.values.to_numpy(), counts.values.to_numpy()
+                at = np.minimum(np.searchsorted(terms, names), max(len(terms) - 1, 0))
+                used = terms[at] == names if len(terms) else np.zeros(len(names), dtype=bool)
+                order = np.argsort(at[used])
+                both = np.concatenate([np.diff(at[used][order], prepend=0), counts[used][order]]).astype("<u4")
+                sizes.append(len(both) // 2)
+                bodies.append(pack(both.view(np.uint8).reshape(-1, 4).T.tobytes()))  # bytes of one weight pack well
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(bodies, pa.binary())], ["grade", "n", "body"])
+
+    return run
+
+
 class Features:
     """The model's features of words, as flat arrays; words seen before are remembered, KEEP of them at most."""
 
@@ -108,13 +132,18 @@ def cuts_of(raw: np.ndarray) -> np.ndarray:
 def loss_and_gradient(w: np.ndarray, raw: np.ndarray, rows, cols, values, grades: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
     """The negative log likelihood with a ridge on w, and its gradient by (w, raw)."""
     n, levels, cuts = len(grades), len(raw) + 1, cuts_of(raw)
-    s = np.bincount(rows, weights=values * w[cols], minlength=n)
+    blocks = [slice(k, k + BLOCK) for k in range(0, len(rows), BLOCK)]
+    s = np.zeros(n)
+    for b in blocks:
+        s += np.bincount(rows[b], weights=values[b] * w[cols[b]], minlength=n)
     edge = np.concatenate([[-np.inf], cuts, [np.inf]])
     hi, lo = edge[grades + 1] - s, edge[grades] - s
     p_hi, p_lo = 1 / (1 + np.exp(-np.clip(hi, -50, 50))), 1 / (1 + np.exp(-np.clip(lo, -50, 50)))
     p = np.maximum(p_hi - p_lo, 1e-12)
     d_hi, d_lo = p_hi * (1 - p_hi) / p, p_lo * (1 - p_lo) / p
-    by_w = np.bincount(cols, weights=values * (d_hi - d_lo)[rows], minlength=len(w)) + l2 * w
+    by_w, slope = l2 * w, d_hi - d_lo
+    for b in blocks:
+        by_w += np.bincount(cols[b], weights=values[b] * slope[rows[b]], minlength=len(w))
     by_cut = np.array([-(d_hi[grades == k].sum()) + d_lo[grades == k + 1].sum() for k in range(levels - 1)])
     tail = np.cumsum(by_cut[::-1])[::-1]
     return float(-np.log(p).sum() + l2 / 2 * (w**2).sum()), np.concatenate([by_w, tail[:1], tail[1:] * np.exp(raw[1:])])
@@ -138,27 +167,25 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
 
 
 def coded(got: pa.Table) -> tuple:
-    """(codes, terms, rows, counts) of the sample's features, in as few bytes as they need."""
-    names = got["names"].combine_chunks()
-    terms, codes = np.unique(names.flatten().to_numpy(), return_inverse=True)
-    rows = np.repeat(np.arange(got.num_rows, dtype=np.int32), np.diff(names.offsets.to_numpy()))
-    return codes.astype(np.int32), terms, rows, got["counts"].combine_chunks().flatten().to_numpy()
-
-
-def fit_features(grades: np.ndarray, features: tuple) -> OrdinalModel | None:
-    codes, terms, rows, counts = features
+    """(codes, rows, counts) of the sample's packed features, in as few bytes as they need."""
+    sizes, unpack = got["n"].to_numpy(), zstandard.ZstdDecompressor().decompress
+    codes, counts = np.empty(sizes.sum(), dtype=np.int32), np.empty(sizes.sum(), dtype=np.int32)
+    rows, at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), 0
+    for body, n in zip(got["body"], sizes.tolist()):
+        both = np.frombuffer(unpack(body.as_py()), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+        codes[at : at + n], counts[at : at + n] = np.cumsum(both[:n]), both[n:]
+        at += n
+    return codes, rows, counts.astype(np.min_scalar_type(counts.max(initial=0)))
+
+
+def fit_features(grades: np.ndarray, terms: np.ndarray, features: tuple) -> OrdinalModel | None:
+    codes, rows, counts = features
     seen = np.unique(grades)
     if len(seen) < 2:
         return None
-    df = np.bincount(codes, minlength=len(terms))
-    used = np.flatnonzero(df >= MIN_DOCS)
-    new = np.full(len(terms), -1, dtype=np.int32)
-    new[used] = np.arange(len(used))
-    cols = new[codes]
-    keep = cols >= 0
-    values = np.log1p(counts[keep].astype(np.float32))
-    w, cuts = fit_ordinal(rows[keep], cols[keep], values, np.searchsorted(seen, grades), max(len(used), 1))
-    return OrdinalModel({t: i for i, t in enumerate(terms[used].tolist())}, w, cuts)
+    values = np.log1p(counts, dtype=np.float32)
+    w, cuts = fit_ordinal(rows, codes, values, np.searchsorted(seen, grades), max(len(terms), 1))
+    return OrdinalModel({t: i for i, t in enumerate(terms.tolist())}, w, cuts)
 
 
 def _score(shared):
@@ -203,20 +230,26 @@ MARK_ODDS, MARK_DOCS = 3.0, 8
 MARK_BOUNDS = (3, 6)
 
 
-def severity_grades(toxic: np.ndarray, features: tuple) -> np.ndarray:
+def severity_grades(toxic: np.ndarray, terms: np.ndarray, features: tuple) -> np.ndarray:
     """Ordered grades from two-valued labels: 0 if clean; toxic documents by how many marks of toxicity they hold.
 
     The labels tell only whether a document is toxic. So the step from 0 to 1 is learned from labels; those above order
     toxic documents by how much of the sample's toxic vocabulary they hold, not by any human judgement of severity. Marks are whole words whose presence in toxic documents of the
     sample, against clean ones, has log odds of MARK_ODDS or more.
     """
-    codes, terms, rows, counts = features
-    yes = np.bincount(codes[toxic[rows]], minlength=len(terms))
-    no = np.bincount(codes, minlength=len(terms)) - yes
+    codes, rows, counts = features
+    blocks = [slice(k, k + BLOCK) for k in range(0, len(codes), BLOCK)]
+    yes, no = np.zeros((2, len(terms)), dtype=np.int64)
+    for b in blocks:
+        with_it = toxic[rows[b]]
+        yes += np.bincount(codes[b][with_it], minlength=len(terms))
+        no += np.bincount(codes[b][~with_it], minlength=len(terms))
     odds = np.log((yes + 0.5) / (toxic.sum() + 1)) - np.log((no + 0.5) / ((~toxic).sum() + 1))
     mark = (yes >= MARK_DOCS) & (odds >= MARK_ODDS) & (terms & 1 == 1)
-    hit = mark[codes]
-    hits = np.bincount(rows[hit], weights=counts[hit], minlength=len(toxic))
+    hits = np.zeros(len(toxic))
+    for b in blocks:
+        hit = mark[codes[b]]
+        hits += np.bincount(rows[b][hit], weights=counts[b][hit], minlength=len(toxic))
     return np.where(toxic, 1 + np.searchsorted(MARK_BOUNDS, hits, side="right"), 0).astype(np.int32)
 
 
@@ -233,14 +266,19 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS)
     # about `limit` rows, whatever the table's size
     marked = docs.where("text <> ''").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     usable = marked.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    got = usable.select(F.col("toxic").cast("int").alias("grade"), "text").mapInArrow(
-        _document_features, "grade int, names array<long>, counts array<int>"
-    ).toArrow()
+    found = stored(
+        usable.select(F.col("toxic").cast("int").alias("grade"), "text").mapInArrow(_document_features, "grade int, names array<long>, counts array<int>")
+    )
+    # rarer features are neither fitted nor (MARK_DOCS) marks, so they stay with the tasks
+    often = found.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+    terms = np.sort(often.select("name").toArrow()["name"].to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    got = found.mapInArrow(_packed(shared), "grade int, n int, body binary").toArrow()
     if not got.num_rows:
         return None
     toxic, features = got["grade"].to_numpy() > 0, coded(got)
     del got
-    model = fit_features(severity_grades(toxic, features), features)
+    model = fit_features(severity_grades(toxic, terms, features), terms, features)
     del features
     pa.default_memory_pool().release_unused()
     return model
