@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,23 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """As stored, but the files go at the end of the block."""
+    table = stored(df)
+    try:
+        yield table
+    finally:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go the shuffle files of plans that are done: Spark deletes them once the driver has collected its garbage."""
+    spark._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(src, dst); component is the smallest node reachable.
 

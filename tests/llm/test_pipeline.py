@@ -107,6 +107,21 @@ def test_dedup_equals_brute_force_jaccard(spark):
     assert sorted(r.doc_id for r in got.collect()) == [k for k in range(len(root)) if top(k) == k]
 
 
+def test_dedup_leaves_no_texts_in_the_shared_folder(spark):
+    import glob
+
+    from pluvion.operators.components import shared_dir
+
+    rng = random.Random(7)
+    base = [" ".join(rng.choices(["a", "b", "c", "d", "e", "f"], k=60)) for _ in range(20)]
+    rows = [(i, base[i % 20] + f" tail{i}", "en", "s", 1, 0) for i in range(100)]
+    at = shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{at}/table-*"))
+    assert P.dedup(spark, spark.createDataFrame(rows, SCHEMA), SF).count() == 20
+    left = set(glob.glob(f"{at}/table-*")) - before
+    assert left and not {"text", "prefix"} & {c for path in left if glob.glob(f"{path}/*") for c in spark.read.parquet(path).columns}
+
+
 def test_rows_tell_their_place_in_the_mix(spark, tmp_path, monkeypatch):
     rows = [(i, f"text {i} " + "word " * (i % 40), "en", "small" if i % 9 == 0 else "large", 1, 0) for i in range(4000)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
